@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TRAIN_DOCS = 1_500
+TRAIN_DOCS = 3_000
 ORDER = 6
 DISCOUNT = 0.75
 WINDOW = 40
@@ -120,18 +120,22 @@ def features(ratio: Ratio, text: str | None) -> list[float]:
     words = _WORD.findall(text.lower()) if text else []
     if not words:
         return [0.0] * FEATURES
-    x = np.fromiter(map(ratio.word, words), dtype=np.float64, count=len(words))
+    # one word can't decide alone, and one that recurs counts once towards the strong ones
+    x = np.clip(np.fromiter(map(ratio.word, words), dtype=np.float64, count=len(words)), -3.0, 8.0)
+    first = np.zeros(len(x), dtype=bool)
+    first[list({w: i for i, w in zip(range(len(words) - 1, -1, -1), reversed(words))}.values())] = True
+    x = np.where(first, x, np.minimum(x, 0.0))
     ends = np.concatenate([[0.0], np.cumsum(x)])
     size = min(WINDOW, len(x))
-    strong = np.clip(x - 2.0, 0.0, 6.0)
-    top = np.partition(x, len(x) - min(3, len(x)))[-3:]
+    own = np.sort(np.clip(np.fromiter(map(ratio.word, set(words)), dtype=np.float64), 0.0, 8.0))
+    strong = float(np.maximum(own - 2.0, 0.0).sum())
     return [
-        10 * float(x.mean()),
-        10 * float((ends[size:] - ends[:-size]).max()) / WINDOW,
-        10 * float(strong.sum()) / (len(x) + 20),
-        float(np.clip(top, 0, 8).sum()) / 3,
-        math.log1p(float(strong.sum())),
-    ]
+        float(x.mean()),
+        float((ends[size:] - ends[:-size]).max()) / WINDOW,
+        10 * strong / (len(own) + 20),
+        float(own[-3:].sum()) / 3,
+        math.log1p(strong),
+    ]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -179,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
         for batch in batches:
             words = defaultdict(Counter)
             for text, y, half in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "half"))):
-                words[y, half].update(_WORD.findall((text or "").lower()))
+                words[y, half].update(set(_WORD.findall((text or "").lower())))  # documents that hold the word
             for (y, half), some in words.items():
                 for word, n in some.items():
                     for g in grams_of(word):
