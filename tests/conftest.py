@@ -5,13 +5,14 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, f"{ROOT}/tests"]
 # workers import the helper classes of tests too
 os.environ["PYTHONPATH"] = f"{ROOT}:{ROOT}/tests:{ROOT}/tests/llm:{os.environ.get('PYTHONPATH', '')}"
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+from helpers import SF  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -37,28 +38,3 @@ def duck():
         path = f"{SF}/{t}.parquet"
         con.execute(f"create view {t} as select * from '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     return con
-
-
-def same_rows(left, right, digits=6):
-    """Whether two pandas frames hold the same rows, in any order."""
-    import numpy as np
-    import pandas as pd
-
-    assert sorted(left.columns) == sorted(right.columns)
-    cols = sorted(left.columns)
-
-    def text(x):
-        if isinstance(x, (float, np.floating)):
-            return "null" if np.isnan(x) else repr(round(float(x), digits) + 0.0)
-        if x is None or x is pd.NA:
-            return "null"
-        if isinstance(x, (int, np.integer)) and not isinstance(x, bool):
-            return repr(float(x))
-        return str(x)
-
-    norm = lambda d: sorted(tuple(text(v) for v in row) for row in d[cols].itertuples(index=False))
-    a, b = norm(left), norm(right)
-    assert len(a) == len(b), (len(a), len(b))
-    wrong = [(x, y) for x, y in zip(a, b) if x != y]
-    assert not wrong, wrong[:3]
-    return True

@@ -1,7 +1,7 @@
 """Every query that has SQL gives what DuckDB gives."""
 
 import pytest
-from conftest import SF, same_rows
+from helpers import SF, same_rows
 
 from cuewright.plans import registry
 
