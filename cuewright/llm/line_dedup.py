@@ -40,7 +40,7 @@ def line_hash(line: Column) -> Column:
 
 
 def dropped_hashes(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, drop): for each document that loses lines, the hashes of those lines."""
+    """(doc_id, _drop): for each document that loses lines, the hashes of those lines."""
     held = (
         docs.select("doc_id", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_hash))).alias("h"))
         .filter("h is not null")
@@ -48,18 +48,18 @@ def dropped_hashes(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     )
     common_lines = held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= min_docs)
     lost = held.join(common_lines.select("h", "last"), "h").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
-    return lost.groupBy("doc_id").agg(F.collect_set("h").alias("drop"))
+    return lost.groupBy("doc_id").agg(F.collect_set("h").alias("_drop"))
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with columns ``_lines`` (before) and ``_kept`` (the array of lines that stay)."""
     drop = dropped_hashes(docs, min_docs).withColumnRenamed("doc_id", "_doc")
     joined = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    keep = F.filter(F.col("_lines"), lambda x: ~F.coalesce(F.array_contains(F.col("drop"), line_hash(x)), F.lit(False)))
+    keep = F.filter(F.col("_lines"), lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), line_hash(x)), F.lit(False)))
     return (
         joined.withColumn("_lines", lines_of(F.col("text")))
-        .withColumn("_kept", F.when(F.col("drop").isNull(), F.col("_lines")).otherwise(keep))
-        .drop("drop", "_doc")
+        .withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(keep))
+        .drop("_drop", "_doc")
     )
 
 

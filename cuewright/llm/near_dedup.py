@@ -307,5 +307,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return numbered.select("doc_id", "h1", "h2", F.coalesce("node", "doc_id").alias("node"), own.alias("class_id"))
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class: that of its smallest doc_id, of rows with this id the text of the smallest hash.
+
+    Rows with a null doc_id, and rows without words, stay (of repeated ones one stays, if they have a doc_id).
+    """
+    found = common.stored(classes(docs, threshold), "near-decided")
+    known = found.filter("doc_id is not null")
+    heads = known.filter("doc_id = class_id").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("k"), F.count(F.lit(1)).alias("n"))
+    twins = common.stored(heads.filter("n > 1"), "near-twins")
+    # what goes: members that aren't heads, and texts other than the head's under its doc_id
+    others = known.join(common.sized_broadcast(twins), "doc_id", "left")
+    gone = others.filter((F.col("doc_id") != F.col("class_id")) | (F.col("k").isNotNull() & (F.struct("h1", "h2") != F.col("k"))))
+    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("h1").alias("_g1"), F.col("h2").alias("_g2")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashed = docs.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(F.lit(6), text))
+    same = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2"))
+    kept = hashed.join(common.sized_broadcast(common.stored(gone, "near-gone")), same, "left_anti")
+    if twins.isEmpty():
+        return kept.select(*docs.columns)
+    twice = common.sized_broadcast(twins.select(F.col("doc_id").alias("_doc")))
+    once = F.col("doc_id").cast("long") == F.col("_doc")
+    repeated = kept.join(twice, once, "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, once, "left_anti").union(repeated).select(*docs.columns)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id")
