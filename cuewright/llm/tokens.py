@@ -45,33 +45,42 @@ class Encoder:
         return [np.array(x, dtype="<u4").tobytes() for x in found]
 
     def _encode_rests(self, rests: list[str]) -> list[bytes]:
-        """Ids of space-led parts, a thousand to a call: a tab between them is a token of its own."""
+        """Ids of space-led parts, a thousand to a text: a tab between them is a token of its own."""
+        joined = ["\t ".join(["", *rests[i : i + 1000]]) for i in range(0, len(rests), 1000)]
         out = []
-        for i in range(0, len(rests), 1000):
-            part = rests[i : i + 1000]
-            ids = self.tokenizer.encode("\t ".join(["", *part]), add_special_tokens=False).ids
-            flat = np.array(ids, dtype="<u4")
+        for found in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            flat = np.array(found.ids, dtype="<u4")
             raw, at = flat.tobytes(), (np.flatnonzero(flat == self.tab) * 4).tolist()
             at.append(len(raw))
             out += [raw[a + 4 : b] for a, b in zip(at, at[1:])]
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo, firsts, rests, new = self.memo, [], [], set()
+        memo, firsts, known, gaps, new = self.memo, [], [], [], {}
+        get = memo.get
         for text in texts:
-            first, *rest = self._parts(text or "")
-            firsts.append(first)
-            rests.append(rest)
-            new.update(set(rest).difference(memo))
+            parts = self._parts(text or "")
+            firsts.append(parts[0])
+            parts[0] = None
+            found = list(map(get, parts))
+            holes = [i for i, x in enumerate(found) if x is None][1:]
+            missed = [parts[i] for i in holes]
+            new.update(zip(missed, missed))
+            known.append(found)
+            gaps.append((holes, missed))
         order = [x for x in new if x and "\t" not in x and not x[-1].isspace()]
-        memo.update(zip(order, self._encode_rests(order)))
+        new.update(zip(order, self._encode_rests(order)))
         if len(order) < len(new):
-            odd = list(new.difference(order))
-            memo.update(zip(odd, self._encode([" " + x for x in odd])))
-        out = [a + b"".join(map(memo.__getitem__, rest)) for a, rest in zip(self._encode(firsts), rests)]
-        if len(memo) > self.KEPT:
-            for x in new:
-                del memo[x]
+            odd = list(new.keys() - set(order))
+            new.update(zip(odd, self._encode([" " + x for x in odd])))
+        if len(memo) + len(new) <= self.KEPT:
+            memo.update(new)
+        out = []
+        for first, found, (holes, missed) in zip(self._encode(firsts), known, gaps):
+            found[0] = first
+            for i, x in zip(holes, missed):
+                found[i] = new[x]
+            out.append(b"".join(found))
         return out
 
 
