@@ -11,7 +11,7 @@ offsets of all frames.
 Writing (``carry``): 576 payload bytes to a frame of MPEG-2 layer III, mono, 16 kHz, 144 kbit/s.  Its side
 information gives a main-data length of 0, so a player hears silence and the bytes are ancillary
 data, kept as they are; a frame lasts 576 samples, one for each byte.  An ID3v2 tag names the
-payload's length, and an Info frame holds the number of frames and bytes and 100 seek points.
+payload's length and CRC-32, and an Info frame holds the number of frames and bytes and 100 seek points.
 
 Defined results: a null text is empty; an empty text is one frame of bytes 255; bytes that hold
 no frame give zero frames and a duration of 0; a broken header or checksum is counted, never
@@ -127,7 +127,11 @@ def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
             if n <= 0 or at + head + n > stop:
                 break
             if name[0] == "T":
-                tags[name] = _text(data[at + head : at + head + n])
+                value = _text(data[at + head : at + head + n])
+                if name in ("TXXX", "TXX"):  # a description of its own
+                    name, _, value = value.partition("\0")
+                    name = f"TXXX:{name}"
+                tags[name] = value
             at += head + n
         start += 10 + size + (10 if flags & 0x10 else 0)
     start = min(start, len(data))
@@ -245,20 +249,25 @@ def carry(payload: bytes, n_bytes: int) -> bytes:
     toc = bytes(min(255, 256 * ((n * k // 100 + 1) * FRAME) // ((n + 1) * FRAME)) for k in range(100))
     info = b"Info" + struct.pack(">III", 7, n, (n + 1) * FRAME) + toc
     frames[0, _BODY : _BODY + len(info)] = np.frombuffer(info, dtype=np.uint8)
-    field = f"payload_bytes\0{n_bytes}".encode()
-    field = b"TXXX" + _packed(len(field) + 1) + b"\0\0\3" + field
-    return b"ID3\4\0\0" + _packed(len(field)) + field + frames.tobytes()
+    tag = b""
+    for name, value in (("payload_bytes", n_bytes), ("payload_crc32", zlib.crc32(payload))):
+        field = f"{name}\0{value}".encode()
+        tag += b"TXXX" + _packed(len(field) + 1) + b"\0\0\3" + field
+    return b"ID3\4\0\0" + _packed(len(tag)) + tag + frames.tobytes()
 
 
 def _packed(n: int) -> bytes:
     return bytes(n >> k & 127 for k in (21, 14, 7, 0))
 
 
-def carried(data: bytes, found: dict) -> tuple[bytes, int]:
-    """(payload, unpadded length) of a stream written by ``carry``, by what ``parse`` found in it."""
+def carried(data: bytes, found: dict) -> tuple[bytes, int, bool | None]:
+    """(payload, unpadded length, whether its checksum holds) of a stream written by ``carry``, by what ``parse`` found in it.
+
+    A stream of another writer has no checksum (null), and its length is that of the bytes found.
+    """
     raw = b"".join(data[at + _BODY : at + _BODY + UNIT] for at in found["offsets"])
-    name, _, n = found["tags"].get("TXXX", "").partition("\0")
-    return raw, int(n) if name == "payload_bytes" and n.isdigit() else len(raw)
+    n, crc = (found["tags"].get(f"TXXX:{x}", "") for x in ("payload_bytes", "payload_crc32"))
+    return raw, int(n) if n.isdigit() else len(raw), int(crc) == zlib.crc32(raw) if crc.isdigit() else None
 
 
 def feature_of(found: dict, payload: bytes) -> str:
@@ -278,7 +287,7 @@ def feature_of(found: dict, payload: bytes) -> str:
 
 
 ENCODED = "doc_id long, media binary"
-READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_num long, duration_den long, seek_offsets array<long>"
+READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_num long, duration_den long, payload_ok boolean, seek_offsets array<long>"
 _ROWS_BYTES = 16 << 20
 
 
@@ -309,17 +318,17 @@ def encode(docs: DataFrame) -> DataFrame:
 
 def probe(media: DataFrame) -> DataFrame:
     """What is read back from the bytes of ``media`` (doc_id, media); null bytes are empty."""
-    names, kinds = zip(*((n, {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}[k]) for n, k in (x.split(" ") for x in READ.split(", "))))
+    names, kinds = zip(*((n, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}[k]) for n, k in (x.split(" ") for x in READ.split(", "))))
 
     def rows(batches):
         for batch in batches:
             for key, data in zip(batch.column("doc_id").to_pylist(), batch.column("media")):
                 data = data.as_py() or b""
                 found = parse(data)
-                payload, n = carried(data, found)
+                payload, n, whole = carried(data, found)
                 yield (
                     key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(),
-                    feature_of(found, payload), *found["duration"], found["offsets"],
+                    feature_of(found, payload), *found["duration"], whole, found["offsets"],
                 )
 
     return media.mapInArrow(lambda it: _batches(rows(it), list(names), kinds, lambda r: 8 * len(r[-1]) + 800), READ)

@@ -176,7 +176,7 @@ def test_mpeg_round_trip(text):
     assert n == len(raw) and len(payload) % 576 == 0 and payload and payload.startswith(raw) and set(payload[n:]) <= {255}
     data = mpeg.carry(payload, n)
     found = mpeg.parse(data)
-    assert mpeg.carried(data, found) == (payload, n)
+    assert mpeg.carried(data, found) == (payload, n, True)
     assert (found["frames"], found["crc_bad"], found["resyncs"], found["skipped"]) == (len(payload) // 576, 0, 0, 0)
     assert found["duration"][0] / found["duration"][1] == pytest.approx(len(payload) / 16000)
     assert found["table"]["frames"] == found["frames"] and found["table"]["bytes"] == len(data) - data.index(b"\xff\xf2")
@@ -195,6 +195,9 @@ def test_mpeg_damage_and_junk():
     bad = bytearray(data)
     bad[whole["offsets"][2] + 8] ^= 1  # side information
     assert mpeg.parse(bytes(bad))["crc_bad"] == 1
+    flipped = bytearray(data)
+    flipped[whole["offsets"][2] + 100] ^= 1  # payload
+    assert mpeg.carried(bytes(flipped), mpeg.parse(bytes(flipped)))[2] is False
     lost = bytearray(data)
     lost[whole["offsets"][2]] = 0
     assert mpeg.parse(bytes(lost))["frames"] == whole["frames"] - 1
