@@ -42,11 +42,24 @@ def sample_times(start: Column, end: Column, duration: Column, points: int = 7)
 
 
 def corner_frames(start: Column, end: Column, fps: Column, total: Column, margin: float = 0.01) -> Column:
-    """Array of struct(which, frame) at the start, middle and end of a scene, within the film."""
-    at = lambda t: F.greatest(F.lit(0), F.least(total - 1, nearest_frame(t, fps)))
-    last = F.greatest(start, end - margin)
-    times = (("start", start), ("mid", (start + end) / 2), ("end", last))
-    return F.array(*(F.struct(F.lit(k).alias("which"), at(t).alias("frame")) for k, t in times))
+    """Array of struct(which, frame) just behind a scene's start, at its middle and just before its end, within the film."""
+    inside = lambda t: F.greatest(F.lit(0), F.least(F.greatest(total - 1, F.lit(0)), nearest_frame(t, fps)))
+    length = F.greatest(F.lit(0.0), end - start)
+    first, last = F.least(F.greatest(start + margin, F.lit(0.0)), end), F.greatest(F.least(end - margin, end), start)
+    times = (("start", first), ("mid", F.least(F.greatest(start + length / 2, start), end)), ("end", last))
+    return F.array(*(F.struct(F.lit(k).alias("which"), inside(t).alias("frame")) for k, t in times))
+
+
+def middle_frame(start: Column, end: Column, fps: Column) -> Column:
+    """The frame at a scene's middle; times that are unknown count as 0, a rate as 24."""
+    mid = (F.coalesce(start, F.lit(0.0)) + F.coalesce(end, F.lit(0.0))) / 2
+    return F.greatest(F.lit(0), frame_of(mid, F.coalesce(F.when(fps > 0, fps), F.lit(24.0))))
+
+
+def fitted(width: Column, height: Column, most: int = 720) -> Column:
+    """struct(width, height) of a frame shrunk so that neither side exceeds ``most``."""
+    scale = F.least(F.lit(1.0), most / F.greatest(width, height))
+    return F.struct((width * scale).cast("int").alias("width"), (height * scale).cast("int").alias("height"))
 
 
 def duration_flexibility(duration: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +10,6 @@ from cuewright.functions import text as tx
 NO_DURATION = -1.0
 
 
-@dataclass(frozen=True)
-class Preset:
-    name: str
-    audio_model: str
-    enable_fusion: bool
-
-
 def plain_path(path):
     """A path without the scheme that file listings put before it."""
     return F.regexp_replace(path, "^file:/+", "/")

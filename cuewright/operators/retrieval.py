@@ -1,7 +1,8 @@
 """Exact hybrid retrieval: similarity, fusion, negative penalty, category scope, top-k, re-ranking, confidence.
 
-A library is matched with queries in blocks of queries of a fixed size, so what is broadcast is bounded; each task
-keeps its best rows for each query (partial top-k by ``WindowGroupLimit``, or in arrays), and only those are shuffled.
+A stated set of queries is searched against every library row, a block of queries at a time: a block has a fixed number of
+queries and is all that is broadcast.  Each task multiplies its batches of library rows with the block and keeps its best rows of each query; only those
+are shuffled, and a ranked window merges them.
 """
 
 from __future__ import annotations
@@ -37,34 +38,29 @@ def prepared(library: DataFrame) -> DataFrame:
     return library.select("path", catid.alias("catid"), vx.doubles(F.col("audio_emb")).alias("audio_emb"), vx.doubles(text).alias("text_emb"))
 
 
-def similarities(queries: DataFrame, library: DataFrame, text_weight: float = 0.4) -> DataFrame:
-    """(query_id, path, catid, audio_sim, text_sim, base): every query against every library row.
+def with_negatives(library: DataFrame, negatives: DataFrame, text_weight: float = 0.4) -> DataFrame:
+    """``library`` with neg_sim, the highest similarity of each row with any negative query.
 
-    The audio part is scaled by 1 - text_weight even without a text vector.  Queries are the broadcast side: pass a block of them.
+    Negatives are what a user types: they travel as one row of vectors, and nothing is shuffled.
     """
-    q = queries.select(*[c for c in queries.columns if c != "query_emb"], vx.normalised(F.col("query_emb")).alias("query_emb")).filter("query_emb is not null")
-    both = library.crossJoin(F.broadcast(q))
-    audio = vx.dot(F.col("audio_emb"), F.col("query_emb"))
-    text = F.coalesce(vx.dot(F.col("text_emb"), F.col("query_emb")), F.lit(0.0))
-    scored = both.withColumn("audio_sim", audio).withColumn("text_sim", text)
-    return scored.withColumn("base", F.col("audio_sim") * (1 - text_weight) + F.col("text_sim") * text_weight).drop("audio_emb", "text_emb", "query_emb")
+    unit = negatives.select(vx.normalised(F.col("query_emb")).alias("v")).filter("v is not null")
+    held = library.crossJoin(F.broadcast(unit.agg(F.collect_list("v").alias("_neg"))))
 
+    def fused(v: Column) -> Column:
+        return vx.dot(F.col("audio_emb"), v) * (1 - text_weight) + F.coalesce(vx.dot(F.col("text_emb"), v), F.lit(0.0)) * text_weight
 
-def negative_similarity(library: DataFrame, negatives: DataFrame, text_weight: float = 0.4) -> DataFrame:
-    """(path, neg_sim): the highest similarity of each library row with any negative query."""
-    scored = similarities(negatives.select(F.col("query_id").alias("neg_id"), "query_emb"), library, text_weight)
-    return scored.groupBy("path").agg(F.max("base").alias("neg_sim"))
+    return held.withColumn("neg_sim", F.array_max(F.transform("_neg", fused))).drop("_neg")
 
 
-def in_scope(scored: DataFrame, floor: int = 5) -> DataFrame:
-    """Rows in the search scope of the query's ``category``; all rows where it has none, or fewer than ``floor`` are in it.
+def active_scopes(library: DataFrame, floor: int = 5) -> DataFrame:
+    """(category, allowed): the search scopes that the library has ``floor`` rows in, or more; other categories are not restricted.
 
-    The counts come from one aggregate over (query_id, catid), which is as small as the rule tables, not from the pairs.
+    Rows are counted by catalogue id, and the counts put together for each category: both are as small as the rule tables.
     """
-    scope = rules.scope(scored.sparkSession)
-    marked = scored.join(F.broadcast(scope), "category", "left").withColumn("_in", F.coalesce(F.array_contains("allowed", F.col("catid")), F.lit(False)))
-    n = F.sum(F.col("_in").cast("int")).over(Window.partitionBy("query_id"))
-    return marked.withColumn("_n", n).filter(F.col("allowed").isNull() | (F.col("_n") < floor) | F.col("_in")).drop("allowed", "_in", "_n")
+    scope = rules.scope(library.sparkSession)
+    counts = library.groupBy("catid").agg(F.count(F.lit(1)).alias("n"))
+    held = scope.select("category", F.explode("allowed").alias("catid")).join(counts, "catid").groupBy("category").agg(F.sum("n").alias("n"))
+    return scope.join(held.filter(F.col("n") >= floor).select("category"), "category", "left_semi")
 
 
 def ranked(scored: DataFrame, score: str, k: int, tie: str = "path", name: str = "rank") -> DataFrame:
@@ -73,22 +69,65 @@ def ranked(scored: DataFrame, score: str, k: int, tie: str = "path", name: str =
     return scored.filter(F.col(score).isNotNull()).withColumn(name, F.row_number().over(order)).filter(F.col(name) <= k)
 
 
+HITS = "query_id long, path string, catid string, score double, audio_sim double, text_sim double, neg_sim double"
+
+
+def _best_of_task(block, params: SearchParams):
+    """A function for mapInPandas: the best rows of each batch for each query of the block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix, allowed = block.value
+        k, w = params.top_k, params.text_weight
+        for frame in batches:
+            frame = frame[frame["audio_emb"].notna()].reset_index(drop=True)
+            if frame.empty:
+                continue
+            audio = np.stack(frame["audio_emb"]) @ matrix.T
+            text = np.zeros_like(audio)
+            held = np.flatnonzero(frame["text_emb"].notna())
+            if len(held):
+                text[held] = np.stack(frame["text_emb"].iloc[held]) @ matrix.T
+            negative = frame["neg_sim"].to_numpy(dtype=np.float64)
+            score = np.round(audio * (1 - w) + text * w - params.neg_alpha * negative[:, None], vx.DIGITS)
+            paths, catids = frame["path"].to_numpy(), frame["catid"].to_numpy()
+            masks = {names: np.isin(catids.astype(str), names) for names in set(allowed) if names is not None}
+            for j, query in enumerate(ids):
+                s = score[:, j]
+                ok = np.ones(len(s), dtype=bool) if allowed[j] is None else masks[allowed[j]]
+                if params.min_score is not None:
+                    ok = ok & (s >= params.min_score)
+                at = np.flatnonzero(ok)
+                if len(at) > k:
+                    at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]  # ties at the floor stay
+                at = at[np.lexsort((paths[at], -s[at]))[:k]]
+                if len(at):
+                    yield pd.DataFrame({"query_id": query, "path": paths[at], "catid": catids[at], "score": s[at], "audio_sim": audio[at, j], "text_sim": text[at, j], "neg_sim": negative[at]})
+
+    return run
+
+
 def search(queries: DataFrame, library: DataFrame, params: SearchParams = SearchParams(), negatives: DataFrame | None = None, scoped: bool = False) -> DataFrame:
-    """Hits (query_id, rank, path, catid, score, audio_sim, text_sim, neg_sim) of ``queries`` (query_id, query_emb, and category if ``scoped``)."""
-    lib = prepared(library)
-    scored = similarities(queries, lib, params.text_weight)
-    if negatives is not None and params.neg_alpha > 0:
-        scored = scored.join(negative_similarity(lib, negatives, params.text_weight), "path", "left")
-    else:
-        scored = scored.withColumn("neg_sim", F.lit(0.0))
-    if scoped:
-        scored = in_scope(scored, params.scope_floor)
-    scored = scored.withColumn("score", vx.rounded(F.col("base") - params.neg_alpha * F.coalesce("neg_sim", F.lit(0.0))))
-    if params.min_score is not None:
-        scored = scored.filter(F.col("score") >= params.min_score)
-    out = ranked(scored, "score", params.top_k)
-    sims = [vx.rounded(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("audio_sim", "text_sim", "neg_sim")]
-    return out.select("query_id", "rank", "path", "catid", "score", *sims)
+    """Hits (query_id, rank, path, catid, score, audio_sim, text_sim, neg_sim) of ``queries`` (query_id, query_emb, and category if ``scoped``).
+
+    Scores are rounded before they are ranked, ties go by path.  Rows and queries whose vector is null or zero take no part; a row
+    without a text vector has text_sim 0, and its audio part is still scaled by 1 - text_weight.
+    """
+    spark, lib = library.sparkSession, prepared(library)
+    against = negatives is not None and params.neg_alpha > 0
+    lib = with_negatives(lib, negatives, params.text_weight) if against else lib.withColumn("neg_sim", F.lit(0.0))
+    scopes = {r["category"]: tuple(r["allowed"]) for r in active_scopes(library, params.scope_floor).collect()} if scoped else {}
+    category = F.col("category") if scoped else F.lit(None).cast("string")
+    q = queries.select("query_id", vx.normalised(F.col("query_emb")).alias("v"), category.alias("category")).filter("v is not null")
+    blocks, out = max(1, -(-q.count() // params.query_block)), None
+    for b in range(blocks):
+        rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if rows:
+            sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["v"] for r in rows]), [scopes.get(r["category"]) for r in rows]))
+            found = lib.mapInPandas(_best_of_task(sent, params), HITS)
+            out = found if out is None else out.union(found)
+    out = spark.createDataFrame([], HITS) if out is None else out
+    sims = [vx.rounded(F.col(c)).alias(c) for c in ("audio_sim", "text_sim", "neg_sim")]
+    return ranked(out, "score", params.top_k).select("query_id", "rank", "path", "catid", "score", *sims)
 
 
 def rerank(candidates: DataFrame) -> DataFrame:
@@ -117,7 +156,7 @@ def smart_search(queries: DataFrame, library: DataFrame, params: SearchParams =
     """Retrieve ``candidates`` for each query (query_id, query, category, query_emb), re-rank, keep ``top_k``, band the best."""
     hits = search(queries, library, SearchParams(text_weight=params.text_weight, top_k=params.candidates))
     known = queries.select("query_id", "query", "category")
-    better = rerank(hits.join(F.broadcast(known), "query_id"))
+    better = rerank(hits.join(known, "query_id"))
     out = ranked(better, "score", params.top_k, tie="retrieval_rank")
     best = F.max("score").over(Window.partitionBy("query_id"))
     return out.withColumn("confidence", confidence(best)).withColumn("source", F.lit("global"))
@@ -129,52 +168,6 @@ def nested(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("results"))
 
 
-def blocked_search(queries: DataFrame, library: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
-    """``search`` without negatives by matrix products: for large libraries.
-
-    A block of ``query_block`` queries is sent to all tasks at a time; each task multiplies its batches of library rows with it and keeps its
-    best ``top_k`` of each query; the window merges them.  Scores equal those of ``search``.
-    """
-    spark, lib = library.sparkSession, prepared(library)
-    q = queries.select("query_id", vx.normalised(F.col("query_emb")).alias("v")).filter("v is not null")
-    n = q.count()
-    blocks, k, w, out = max(1, -(-n // params.query_block)), params.top_k, params.text_weight, None
-    for b in range(blocks):
-        rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), np.array([r["v"] for r in rows])))
-
-        def multiply(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            for frame in batches:
-                frame = frame[frame["audio_emb"].notna()].reset_index(drop=True)
-                if frame.empty:
-                    continue
-                audio = np.stack(frame["audio_emb"]) @ matrix.T
-                text = np.zeros_like(audio)
-                held = np.flatnonzero(frame["text_emb"].notna())
-                if len(held):
-                    text[held] = np.stack(frame["text_emb"].iloc[held]) @ matrix.T
-                score = np.round(audio * (1 - w) + text * w, vx.DIGITS)
-                paths = frame["path"].to_numpy()
-                for j, query in enumerate(ids):
-                    at = np.lexsort((paths, -score[:, j]))[:k] if len(paths) <= 4 * k else None
-                    if at is None:
-                        floor = np.partition(score[:, j], -k)[-k]
-                        some = np.flatnonzero(score[:, j] >= floor)
-                        at = some[np.lexsort((paths[some], -score[some, j]))[:k]]
-                    yield pd.DataFrame({"query_id": query, "path": paths[at], "catid": frame["catid"].to_numpy()[at], "score": score[at, j], "audio_sim": audio[at, j], "text_sim": text[at, j]})
-
-        found = lib.mapInPandas(multiply, "query_id long, path string, catid string, score double, audio_sim double, text_sim double")
-        out = found if out is None else out.union(found)
-    if out is None:
-        return search(queries, library, params)
-    out = out if params.min_score is None else out.filter(F.col("score") >= params.min_score)
-    best = ranked(out, "score", k)
-    return best.select("query_id", "rank", "path", "catid", "score", vx.rounded(F.col("audio_sim")).alias("audio_sim"), vx.rounded(F.col("text_sim")).alias("text_sim"), F.lit(0.0).alias("neg_sim"))
-
-
 def without_excluded(hits: DataFrame) -> DataFrame:
     """Rows whose path holds none of the parts that their ``category`` excludes."""
     joined = hits.join(F.broadcast(rules.excluded(hits.sparkSession)), "category", "left")

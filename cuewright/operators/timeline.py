@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewright.config import Detection
 from cuewright.functions import timecode as tc
 from cuewright.functions import vector as vx
 
@@ -182,6 +183,23 @@ def threshold_cuts(frames: DataFrame, threshold: float = 27.0, value: str = "val
     return frames.withColumn("_b", before).filter((F.col(value) >= threshold) & (F.col("_b") < threshold)).select("video_id", "frame_no")
 
 
+def fade_cuts(frames: DataFrame, threshold: float = 12.0, value: str = "brightness") -> DataFrame:
+    """Cuts in the middle of fades through black: of each run of frames below ``threshold`` that light frames enclose."""
+    order = Window.partitionBy("video_id").orderBy("frame_no")
+    dark = (F.col(value) < threshold).cast("int")
+    turned = frames.withColumn("_d", dark).withColumn("_run", F.sum(F.when(F.col("_d") != F.coalesce(F.lag("_d").over(order), F.lit(-1)), 1).otherwise(0)).over(order))
+    runs = turned.groupBy("video_id", "_run").agg(F.max("_d").alias("d"), F.min("frame_no").alias("a"), F.max("frame_no").alias("b"))
+    last = F.max("_run").over(Window.partitionBy("video_id"))
+    inner = runs.withColumn("_last", last).filter("d = 1 and _run > 1 and _run < _last")
+    return inner.select("video_id", F.floor((F.col("a") + F.col("b")) / 2).cast("long").alias("frame_no"))
+
+
+def detect_cuts(frames: DataFrame, how: Detection) -> DataFrame:
+    """Cuts of ``frames`` (video_id, frame_no, value, and brightness where fades count) by a detection mode."""
+    cuts = adaptive_cuts(frames, how.window, how.ratio, how.least, how.min_len) if how.adaptive else threshold_cuts(frames, how.threshold)
+    return cuts.union(fade_cuts(frames, how.threshold)).distinct() if how.fades else cuts
+
+
 def scenes_of_cuts(cuts: DataFrame, films: DataFrame) -> DataFrame:
     """Scenes between cuts; ``films``: (video_id, fps, total_frames)."""
     starts = cuts.select("video_id", F.col("frame_no").alias("start_frame")).union(films.select("video_id", F.lit(0).cast("long"))).distinct()

@@ -25,8 +25,8 @@ def sql_list(values: list) -> str:
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sound library: vectors, a rotated second modality, catalogue ids by label, paths with two words."""
     e = table(spark, sf_dir, "embeddings")
-    names = table(spark, sf_dir, "part").filter("p_partkey <= 200").select("p_partkey", "p_name")
-    joined = e.withColumn("_p", F.col("vec_id") % 200 + 1).join(F.broadcast(names), F.col("_p") == F.col("p_partkey"))
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    joined = e.withColumn("_p", F.col("vec_id") % 200 + 1).join(names, F.col("_p") == F.col("p_partkey"))
     path = F.concat(F.lit("/lib/"), F.col("label").cast("string"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("vec_id").cast("string"), F.lit(".wav"))
     return joined.select(
         "vec_id", "label", "p_name", path.alias("path"), F.col("embedding").alias("audio_emb"),
@@ -44,22 +44,26 @@ lib AS (
 )"""
 
 
-def queries(spark: SparkSession, sf_dir: str, low: int = 0, high: int = 20) -> DataFrame:
-    """Queries: the library rows from ``low`` below ``high``, with their words and their label's category."""
-    lib = library(spark, sf_dir).filter((F.col("vec_id") >= low) & (F.col("vec_id") < high))
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query for each library row: its vector, its words and its label's category."""
+    lib = library(spark, sf_dir)
     return lib.select(F.col("vec_id").alias("query_id"), F.col("audio_emb").alias("query_emb"), F.col("p_name").alias("query"), by_number(CATEGORIES, F.col("label")).alias("category"))
 
 
-UNIT = "list_transform({v}, lambda x: x / sqrt(list_sum(list_transform({v}, lambda y: y * y))))"
+def first_of_label(lib: DataFrame) -> DataFrame:
+    """The vector of each label's smallest id: anchors, and negative queries."""
+    return lib.groupBy("label").agg(F.min_by("audio_emb", "vec_id").alias("emb")).select(F.col("label").alias("ord"), by_number(CATIDS, F.col("label")).alias("catid"), "emb")
 
 
-def queries_sql(low: int = 0, high: int = 20, name: str = "q") -> str:
-    return f"""
-{name} AS (
-  SELECT vec_id AS query_id, {UNIT.format(v="a")} AS v, p_name AS query, ({sql_list(CATEGORIES)})[label + 1] AS category
-  FROM lib WHERE vec_id >= {low} AND vec_id < {high}
+UNIT = "list_transform({v}, lambda x: x / sqrt(list_sum(list_transform({v}, lambda y: y * y))))"
+
+QUERIES_SQL = f"""
+q AS (
+  SELECT vec_id AS query_id, {UNIT.format(v="a")} AS v, p_name AS query, ({sql_list(CATEGORIES)})[label + 1] AS category FROM lib
 )"""
 
+ANCHORS_SQL = "anchors AS (SELECT label AS ord, any_value(catid) AS catid, arg_min(a, vec_id) AS v FROM lib GROUP BY label)"
+
 
 def pairs_sql(text_weight: float, q: str = "q", name: str = "pairs") -> str:
     return f"""

@@ -10,25 +10,26 @@ from cuewright.functions import text as tx
 from cuewright.functions import vector as vx
 from cuewright.operators import assemble, classify, library, retrieval
 from cuewright.plans import inputs
-from cuewright.plans.inputs import LIBRARY_SQL, pairs_sql, queries_sql, sql_list
+from cuewright.plans.inputs import ANCHORS_SQL, LIBRARY_SQL, QUERIES_SQL, pairs_sql, sql_list
 
 HIT = ["query_id", "rank", "path", "catid", "score", "audio_sim", "text_sim", "neg_sim"]
 
 
-def _search(weight, scoped=False, negatives=None, **more):
+def _search(weight, scoped=False, negatives=False, **more):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lib, q = inputs.library(spark, sf_dir), inputs.queries(spark, sf_dir)
-        neg = inputs.queries(spark, sf_dir, *negatives) if negatives else None
+        neg = inputs.first_of_label(lib).select(F.col("ord").alias("query_id"), F.col("emb").alias("query_emb")) if negatives else None
         return retrieval.search(q, lib, retrieval.SearchParams(text_weight=weight, **more), neg, scoped).select(*HIT)
 
     return run
 
 
-def _search_sql(weight, k=3, scoped=False, negatives=None, alpha=0.0, least=None, floor=5) -> str:
-    ctes = [LIBRARY_SQL, queries_sql(), pairs_sql(weight)]
+def _search_sql(weight, k=3, scoped=False, negatives=False, alpha=0.0, least=None, floor=5) -> str:
+    ctes = [LIBRARY_SQL, QUERIES_SQL, pairs_sql(weight)]
     neg, join = "0.0::DOUBLE", ""
     if negatives:
-        ctes += [queries_sql(*negatives, name="nq"), pairs_sql(weight, "nq", "npairs"), "neg AS (SELECT path, max(base) AS neg_sim FROM npairs GROUP BY path)"]
+        ctes += [ANCHORS_SQL, f"nq AS (SELECT ord AS query_id, '' AS query, '' AS category, {inputs.UNIT.format(v='v')} AS v FROM anchors)"]
+        ctes += [pairs_sql(weight, "nq", "npairs"), "neg AS (SELECT path, max(base) AS neg_sim FROM npairs GROUP BY path)"]
         neg, join = "neg.neg_sim", "JOIN neg ON neg.path = pairs.path"
     if scoped:
         rows = ", ".join(f"('{c}', {sql_list([*v, rules.UNKNOWN])})" for c, v in rules.SCOPE.items())
@@ -45,10 +46,6 @@ def _search_sql(weight, k=3, scoped=False, negatives=None, alpha=0.0, least=None
     )
 
 
-def blocked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.blocked_search(inputs.queries(spark, sf_dir), inputs.library(spark, sf_dir), retrieval.SearchParams(top_k=5, query_block=8)).select(*HIT)
-
-
 def rerank_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = retrieval.smart_search(inputs.queries(spark, sf_dir), inputs.library(spark, sf_dir))
     return out.select("query_id", "rank", "path", "catid", "score", "original_score", "confidence", "source")
@@ -58,7 +55,7 @@ def _rerank_sql() -> str:
     scope = ", ".join(f"('{c}', {sql_list([*v, rules.UNKNOWN])})" for c, v in rules.SCOPE.items())
     wrong = ", ".join(f"('{c}', {sql_list(v)})" for c, v in rules.WRONG.items())
     return f"""
-WITH {LIBRARY_SQL}, {queries_sql()}, {pairs_sql(0.4)},
+WITH {LIBRARY_SQL}, {QUERIES_SQL}, {pairs_sql(0.4)},
 scope(category, allowed) AS (VALUES {scope}), wrong(category, bad) AS (VALUES {wrong}),
 first AS (
   SELECT *, round(base, 6) AS original_score, row_number() OVER (PARTITION BY query_id ORDER BY round(base, 6) DESC, path) AS rr FROM pairs
@@ -79,16 +76,9 @@ FROM ranked WHERE rank <= 3
 """
 
 
-def _anchors(lib: DataFrame) -> DataFrame:
-    return lib.groupBy("label").agg(F.min_by("audio_emb", "vec_id").alias("emb")).select(F.col("label").alias("ord"), inputs.by_number(inputs.CATIDS, F.col("label")).alias("catid"), "emb")
-
-
-ANCHORS_SQL = "anchors AS (SELECT label AS ord, any_value(catid) AS catid, arg_min(a, vec_id) AS v FROM lib GROUP BY label)"
-
-
 def zero_shot_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = inputs.library(spark, sf_dir)
-    return classify.zero_shot(lib.select(F.col("vec_id").alias("key"), F.col("audio_emb").alias("emb")), _anchors(lib))
+    return classify.zero_shot(lib.select(F.col("vec_id").alias("key"), F.col("audio_emb").alias("emb")), inputs.first_of_label(lib))
 
 
 def _shot_sql(key: str = "vec_id", name: str = "shot") -> str:
@@ -112,7 +102,7 @@ def _files(lib: DataFrame) -> DataFrame:
 
 def classify_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = inputs.library(spark, sf_dir)
-    return classify.cascade(_files(lib), _anchors(lib), 0.5).select("path", "embedded", "metadata_catid", "catid")
+    return classify.cascade(_files(lib), inputs.first_of_label(lib), 0.5).select("path", "embedded", "metadata_catid", "catid")
 
 
 def _cascade_sql() -> str:
@@ -133,13 +123,13 @@ FROM v JOIN shot ON shot.key = v.vec_id
 
 def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = inputs.library(spark, sf_dir)
-    held = lib.filter("vec_id % 2 = 0").select("path", "catid", "duration", "preset")
+    held = lib.filter("label < 5").select("path", "catid", "duration", "preset")
     fresh = library.long_enough(library.new_files(lib.select("path", "duration"), held))
     return library.extended(held, fresh).select("path", "catid", "duration", "preset")
 
 
 INCREMENTAL_SQL = f"""
-WITH {LIBRARY_SQL}, held AS (SELECT path, catid, duration, 'natural' AS preset FROM lib WHERE vec_id % 2 = 0)
+WITH {LIBRARY_SQL}, held AS (SELECT path, catid, duration, 'natural' AS preset FROM lib WHERE label < 5)
 SELECT * FROM held UNION ALL
 SELECT path, NULL, duration, NULL FROM lib WHERE duration >= 10 AND NOT EXISTS (SELECT 1 FROM held WHERE held.path = lib.path)
 """
@@ -147,31 +137,32 @@ SELECT path, NULL, duration, NULL FROM lib WHERE duration >= 10 AND NOT EXISTS (
 
 def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = inputs.library(spark, sf_dir)
-    return library.counts(lib.select("path", "duration"), lib.filter("vec_id % 2 = 0"))
+    return library.counts(lib.select("path", "duration"), lib.filter("label < 5"))
 
 
 COUNTS_SQL = f"""
-WITH {LIBRARY_SQL} SELECT count(*) AS found, count(*) FILTER (WHERE vec_id % 2 = 1) AS new,
-  count(*) FILTER (WHERE vec_id % 2 = 1 AND duration < 10) AS skipped, count(*) FILTER (WHERE vec_id % 2 = 1 AND duration >= 10) AS kept FROM lib
+WITH {LIBRARY_SQL} SELECT count(*) AS found, count(*) FILTER (WHERE label >= 5) AS new,
+  count(*) FILTER (WHERE label >= 5 AND duration < 10) AS skipped, count(*) FILTER (WHERE label >= 5 AND duration >= 10) AS kept FROM lib
 """
 
+WORDS = ["rain", "wind-low", "City", "hum", "sea_a", "birds", "door", "crowd", "fan", "bell"]
 SUFFIXES = ["_1", "-2", "_v3", "_take4", "_48k", "", "-48k_3"]
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = inputs.library(spark, sf_dir)
     n = F.col("vec_id")
-    path = F.concat(F.lit("/l/"), F.replace("p_name", F.lit(" "), F.lit("-")), inputs.by_number(SUFFIXES, n % 7), F.lit(".wav"))
+    path = F.concat(F.lit("/l/"), inputs.by_number(WORDS, F.col("label")), inputs.by_number(SUFFIXES, n % 7), F.lit(".wav"))
     return lib.select(
-        (n % 20).alias("scene_id"), F.floor(n / 20).cast("int").alias("rank"), path.alias("path"), F.round((n % 40) / F.lit(100.0), 4).alias("score"),
-        F.when(n % 6 != 5, (n % 30 + 0.5).cast("double")).alias("audio_duration"), (n % 20 + 1.25).cast("double").alias("duration"),
+        F.floor(n / 25).alias("scene_id"), (n % 25).cast("int").alias("rank"), path.alias("path"), F.round((n % 40) / F.lit(100.0), 4).alias("score"),
+        F.when(n % 6 != 5, (n % 30 + 0.5).cast("double")).alias("audio_duration"), (F.floor(n / 25) % 20 + 1.25).cast("double").alias("duration"),
     )
 
 
 HITS_SQL = f"""
 hits AS (
-  SELECT vec_id % 20 AS scene_id, (vec_id // 20)::INTEGER AS rank, '/l/' || replace(p_name, ' ', '-') || ({sql_list(SUFFIXES)})[vec_id % 7 + 1] || '.wav' AS path,
-    round((vec_id % 40) / 100.0::DOUBLE, 4) AS score, CASE WHEN vec_id % 6 <> 5 THEN (vec_id % 30 + 0.5)::DOUBLE END AS audio_duration, (vec_id % 20 + 1.25)::DOUBLE AS duration
+  SELECT vec_id // 25 AS scene_id, (vec_id % 25)::INTEGER AS rank, '/l/' || ({sql_list(WORDS)})[label + 1] || ({sql_list(SUFFIXES)})[vec_id % 7 + 1] || '.wav' AS path,
+    round((vec_id % 40) / 100.0::DOUBLE, 4) AS score, CASE WHEN vec_id % 6 <> 5 THEN (vec_id % 30 + 0.5)::DOUBLE END AS audio_duration, (vec_id // 25 % 20 + 1.25)::DOUBLE AS duration
   FROM lib
 ), keyed AS (
   SELECT *, trim(regexp_replace(lower(regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '')), '([-_]v?\\d+|_?\\d+k|_take\\d+)$', ''), '-_ ') AS sim_key FROM hits WHERE audio_duration IS NOT NULL AND audio_duration <> 0
@@ -260,11 +251,11 @@ SELECT path, array_to_string(list_sort(list_distinct(list_filter(string_split(lo
 QUERIES = {
     "vector_topk": _search(0.0),
     "hybrid_topk": _search(0.4, top_k=5),
-    "negative_penalty_topk": _search(0.4, negatives=(20, 25), neg_alpha=0.3),
+    "negative_penalty_topk": _search(0.4, negatives=True, neg_alpha=0.3),
     "scoped_topk": _search(0.4, scoped=True),
     "scoped_topk_escape": _search(0.4, scoped=True, scope_floor=120),
     "min_score_topk": _search(0.4, top_k=50, min_score=0.15),
-    "blocked_topk": blocked_topk,
+    "blocked_topk": _search(0.4, top_k=5, query_block=100),
     "rerank_confidence": rerank_confidence,
     "zero_shot_classify": zero_shot_classify,
     "classify_cascade": classify_cascade,
@@ -281,7 +272,7 @@ QUERIES = {
 ORACLE_SQL = {
     "vector_topk": _search_sql(0.0),
     "hybrid_topk": _search_sql(0.4, 5),
-    "negative_penalty_topk": _search_sql(0.4, negatives=(20, 25), alpha=0.3),
+    "negative_penalty_topk": _search_sql(0.4, negatives=True, alpha=0.3),
     "scoped_topk": _search_sql(0.4, scoped=True),
     "scoped_topk_escape": _search_sql(0.4, scoped=True, floor=120),
     "min_score_topk": _search_sql(0.4, 50, least=0.15),

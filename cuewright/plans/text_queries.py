@@ -44,7 +44,7 @@ SELECT p_partkey, '/lib/x.y/' || stem || '.mp3' AS path, trim(words_ || ' ' || {
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = inputs.table(spark, sf_dir, "conversations")
     n = F.col("conv_id") + F.col("turn")
-    head = F.regexp_replace(F.substring("text", 1, 40), r"[\r\n]", " ")
+    head = F.regexp_replace("text", r"[\r\n]", " ")
     raw = (
         F.when(n % 8 == 0, F.concat(F.lit("**CATEGORY:** amb-urban\n**DESCRIPTION:** "), head))
         .when(n % 8 == 1, F.concat(F.lit("[img-12]CATEGORY: UNKNOWN\nDESCRIPTION: waves at the beach by the city "), head))
@@ -60,7 +60,7 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REPLIES_SQL = """
 r AS (
-  SELECT conv_id, turn, regexp_replace(substr(text, 1, 40), '[\\r\\n]', ' ', 'g') AS head, (conv_id + turn) % 8 AS n FROM conversations
+  SELECT conv_id, turn, regexp_replace(text, '[\\r\\n]', ' ', 'g') AS head, (conv_id + turn) % 8 AS n FROM conversations
 ), raw AS (
   SELECT conv_id, turn, CASE n WHEN 0 THEN '**CATEGORY:** amb-urban' || chr(10) || '**DESCRIPTION:** ' || head
     WHEN 1 THEN '[img-12]CATEGORY: UNKNOWN' || chr(10) || 'DESCRIPTION: waves at the beach by the city ' || head
@@ -222,10 +222,11 @@ MODELS = ["Qwen-9B-Q6_K.gguf", "model-4B-BF16.gguf", "vl-3b-Instruct-Q4_K_M.gguf
 
 
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, k = inputs.table(spark, sf_dir, "part").filter("p_partkey <= 200"), F.col("p_partkey")
-    folder = F.concat(F.lit("/m/"), (k % 20).cast("string"))
+    p, k = inputs.table(spark, sf_dir, "part"), F.col("p_partkey")
+    folder = F.concat(F.lit("/m/"), F.floor(k / 10).cast("string"))
     base = p.select(folder.alias("folder"), F.concat(folder, F.lit("/"), k.cast("string"), F.lit("-"), inputs.by_number(MODELS, k % 6)).alias("path"), (F.col("p_size").cast("long") * 150_000_000).alias("size"), F.lit(False).alias("is_projector"))
-    proj = p.filter("p_partkey % 20 <> 7").select(folder.alias("folder"), F.concat(folder, F.lit("/mmproj-"), k.cast("string"), F.lit(".gguf")).alias("path"), F.col("p_size").cast("long").alias("size"), F.lit(True).alias("is_projector"))
+    bare = F.floor(k / 10) % 20 == 7  # a folder whose projectors lie elsewhere
+    proj = p.select(F.when(bare, "/elsewhere").otherwise(folder).alias("folder"), F.concat(folder, F.lit("/mmproj-"), k.cast("string"), F.lit(".gguf")).alias("path"), F.col("p_size").cast("long").alias("size"), F.lit(True).alias("is_projector"))
     return base.union(proj)
 
 
@@ -235,8 +236,8 @@ def model_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MODEL_SQL = f"""
 WITH f AS (
-  SELECT '/m/' || (p_partkey % 20) AS folder, '/m/' || (p_partkey % 20) || '/' || p_partkey || '-' || ({sql_list(MODELS)})[p_partkey % 6 + 1] AS base,
-    '/m/' || (p_partkey % 20) || '/mmproj-' || p_partkey || '.gguf' AS projector, p_size::BIGINT * 150000000 AS size, p_size::BIGINT AS psize, p_partkey % 20 <> 7 AS has FROM part WHERE p_partkey <= 200
+  SELECT '/m/' || (p_partkey // 10) AS folder, '/m/' || (p_partkey // 10) || '/' || p_partkey || '-' || ({sql_list(MODELS)})[p_partkey % 6 + 1] AS base,
+    '/m/' || (p_partkey // 10) || '/mmproj-' || p_partkey || '.gguf' AS projector, p_size::BIGINT * 150000000 AS size, p_size::BIGINT AS psize, p_partkey // 10 % 20 <> 7 AS has FROM part
 ), b AS (
   SELECT folder, arg_max(base, (size, base)) AS base, arg_max(projector, (psize, projector)) FILTER (WHERE has) AS projector, max(size) AS size FROM f GROUP BY folder
 ), n AS (
@@ -250,8 +251,8 @@ SELECT folder, base, projector, model_rank, (row_number() OVER (ORDER BY model_r
 
 
 def scene_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenes of one film with analyses in several shapes; the nested fields as text."""
-    sc = inputs.scenes(spark, sf_dir).filter("video_id % 7 = 1")
+    """All scenes, with analyses in several shapes or none; the nested fields as text."""
+    sc = inputs.scenes(spark, sf_dir)
     key = F.col("event_id").cast("int")
     scenes = sc.select(
         key.alias("scene_id"), F.lit("a").alias("start"), F.lit("b").alias("end"), F.lit(None).cast("int").alias("start_frame"), F.lit(None).cast("int").alias("end_frame"),
@@ -260,8 +261,9 @@ def scene_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.concat(F.lit('{"sound_description":" rain on '), F.col("event_type"), F.lit('","tags":["Rain","rain","the","'), F.col("event_type"), F.lit('"],"mood":"calm","intensity":'), F.round(F.col("value") / 50, 3).cast("string"), F.lit("}"))
     layered = F.lit('{"sound_layers":[{"type":"","description":"hum","weight":0.2},{"description":"birds ","weight":"3"}],"intensity":"high"}')
     raw = F.when(key % 5 == 0, good).when(key % 5 == 1, F.to_json(F.struct(F.concat(F.lit("Here: "), good).alias("raw_response")))).when(key % 5 == 2, F.lit('{"error":"x","mood":"lost"}')).when(key % 5 == 3, layered)
-    analyses = sc.filter(key % 5 != 4).select(key.alias("scene_id"), F.lit(1).alias("ord"), raw.alias("analysis")).union(sc.filter(key % 5 == 0).select(key, F.lit(0), F.lit('{"mood":"old"}')))
-    frames = sc.filter(key % 2 == 0).select(key.alias("scene_id"), F.lit(0).alias("ord"), F.format_string("scene_%02d.jpg", key).alias("frame_path"))
+    # a negative scene_id is that of no scene
+    analyses = sc.select(F.when(key % 5 == 4, -1 - key).otherwise(key).alias("scene_id"), F.lit(1).alias("ord"), raw.alias("analysis")).union(sc.select(F.when(key % 5 == 0, key).otherwise(-1 - key), F.lit(0), F.lit('{"mood":"old"}')))
+    frames = sc.select(F.when(key % 2 == 0, key).otherwise(-1 - key).alias("scene_id"), F.lit(0).alias("ord"), F.format_string("scene_%02d.jpg", key).alias("frame_path"))
     out = scenemap.scene_map(scenes, analyses, frames)
     layers = F.array_join(F.transform("sound_layers", lambda l: F.concat_ws(":", l["type"], l["description"], F.round(l["weight"], 3).cast("string"))), ";")
     return out.select(
@@ -272,7 +274,7 @@ def scene_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCENE_MAP_SQL = f"""
 WITH {inputs.SCENES_SQL}, s AS (
-  SELECT event_id::INTEGER AS scene_id, round((end_ms - start_ms) / 1000.0::DOUBLE, 3) AS duration, is_blank, event_type, value, event_id % 5 AS n FROM sc WHERE video_id % 7 = 1
+  SELECT event_id::INTEGER AS scene_id, round((end_ms - start_ms) / 1000.0::DOUBLE, 3) AS duration, is_blank, event_type, value, event_id % 5 AS n FROM sc
 )
 SELECT scene_id, duration, CASE WHEN scene_id % 2 = 0 THEN printf('scene_%02d.jpg', scene_id) END AS frame_path,
   CASE WHEN n IN (0, 1) THEN 'rain on ' || event_type WHEN n = 3 THEN 'birds hum' ELSE '' END AS sound_description,

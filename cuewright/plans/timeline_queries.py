@@ -106,9 +106,9 @@ def _projects(spark: SparkSession, sf_dir: str):
     gap = F.when(F.col("scene_id") % 5 == 0, F.col("start_ms") + 400).otherwise(F.col("start_ms"))
     rows = sc.select(
         F.concat(F.lit("p"), F.col("video_id").cast("string")).alias("project"), "scene_id", (gap / 1000.0).alias("start_sec"), "duration",
-        F.when(exact, F.col("start_frame")).alias("start_frame"), F.when(exact, F.col("end_frame")).alias("end_frame"), "event_id",
+        F.when(exact, F.col("start_frame")).alias("start_frame"), F.when(exact, F.col("end_frame")).alias("end_frame"), "event_id", "value",
     )
-    layer = rows.filter("event_id % 3 = 0").select("project", "scene_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(2))).alias("track"), "event_id").withColumn("pos", F.monotonically_increasing_id())
+    layer = rows.filter("value < 30").select("project", "scene_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(2))).alias("track"), "event_id")
     layers = layer.select("project", "scene_id", "track", F.when(F.col("track") == 1, 0).otherwise(1).alias("pos"), F.concat(F.lit("/l/"), F.col("event_id").cast("string")).alias("source"), (F.col("event_id") % 13 / 4.0).alias("source_offset")).distinct()
     return rows, layers
 
@@ -120,13 +120,13 @@ def track_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRACKS_SQL = f"""
 WITH {SCENES_SQL}, r AS (
-  SELECT 'p' || video_id AS project, scene_id, event_id, video_id % 2 = 0 AS exact, (CASE WHEN scene_id % 5 = 0 THEN start_ms + 400 ELSE start_ms END) / 1000.0::DOUBLE AS start_sec,
+  SELECT 'p' || video_id AS project, scene_id, event_id, value, video_id % 2 = 0 AS exact, (CASE WHEN scene_id % 5 = 0 THEN start_ms + 400 ELSE start_ms END) / 1000.0::DOUBLE AS start_sec,
     (end_ms - start_ms) / 1000.0::DOUBLE AS duration, start_ms * 30 // 1000 AS sf, end_ms * 30 // 1000 AS ef FROM sc
 ), p AS (
   SELECT *, CASE WHEN exact THEN sf ELSE round_even(start_sec * 30, 0)::BIGINT END AS pos_at,
     CASE WHEN exact THEN CASE WHEN ef - sf > 0 THEN ef - sf ELSE trunc(duration * 30)::BIGINT END ELSE round_even(duration * 30, 0)::BIGINT END AS len FROM r
 ), t AS (
-  SELECT p.*, track, event_id % 3 = 0 AND track IN (1, 2) AS clip FROM p, (SELECT unnest([1, 2, 3]) AS track)
+  SELECT p.*, track, value < 30 AND track IN (1, 2) AS clip FROM p, (SELECT unnest([1, 2, 3]) AS track)
 ), g AS (
   SELECT *, pos_at - lag(pos_at + len, 1, 0) OVER (PARTITION BY project, track ORDER BY scene_id) AS gap FROM t
 ), c AS (

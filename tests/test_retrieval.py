@@ -1,5 +1,6 @@
 """Retrieval and classification on small libraries."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,12 +53,18 @@ def test_scope_needs_five_rows(spark, inside, expected):
     assert retrieval.search(q, lib(spark, rows), SearchParams(top_k=50), scoped=True).count() == 10
 
 
-def test_blocked_equals_plain(spark):
+def test_blocks_of_queries_equal_brute_force(spark):
     rows = [(f"/{i:02d}", [1.0, i % 7 / 10], [i % 3 / 10, 1.0] if i % 4 else None, None) for i in range(40)]
-    q = queries(spark, *[(k, "", None, [1.0, k / 5]) for k in range(7)])
-    a = retrieval.search(q, lib(spark, rows), SearchParams(top_k=4)).collect()
-    b = retrieval.blocked_search(q, lib(spark, rows), SearchParams(top_k=4, query_block=2)).select(*retrieval.search(q, lib(spark, rows)).columns).collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    q = [(k, "", None, [1.0, k / 5]) for k in range(7)]
+    want = []
+    for k, _, _, v in q:
+        unit = np.array(v) / np.linalg.norm(v)
+        scored = sorted((-round(0.6 * float(np.dot(a, unit)) + (0.4 * float(np.dot(t, unit)) if t else 0.0), 6), p) for p, a, t, _ in rows)
+        want += [(k, r, p, -s) for r, (s, p) in enumerate(scored[:4], 1)]
+    for block in (2, 100):
+        got = retrieval.search(queries(spark, *q), lib(spark, rows).repartition(3), SearchParams(top_k=4, query_block=block)).collect()
+        assert sorted((r["query_id"], r["rank"], r["path"], r["score"]) for r in got) == want
+    assert retrieval.search(queries(spark, *q).limit(0), lib(spark, rows)).count() == 0
 
 
 def test_nested_results_keep_order(spark):

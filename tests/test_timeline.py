@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cuewright import config
 from cuewright.functions import timecode as tc
 from cuewright.operators import assemble, timeline
 
@@ -110,3 +111,25 @@ def test_unknown_duration_keeps_no_name(spark):
     df = spark.createDataFrame(rows, "scene_id int, rank int, path string, score double, audio_duration double, duration double")
     got = [(r["track"], r["source_file"]) for r in assemble.layers(df).orderBy("track").collect()]
     assert got == [(1, "/l/rain_2.wav"), (2, "/l/wind.wav")]
+
+
+def test_corner_and_middle_frames(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 10.0, 15), (0.0, 0.0, 10.0, 0), (1.0, 2.0, 10.0, 1000)], "a double, b double, fps double, n int")
+    got = [[x["frame"] for x in r[0]] for r in df.select(tc.corner_frames(F.col("a"), F.col("b"), F.col("fps"), F.col("n"))).collect()]
+    assert got == [[10, 14, 14], [0, 0, 0], [10, 15, 20]]
+    mid = spark.createDataFrame([(1.0, 2.0, None), (None, None, 25.0)], "a double, b double, fps double").select(tc.middle_frame(F.col("a"), F.col("b"), F.col("fps"))).collect()
+    assert [r[0] for r in mid] == [36, 0]
+    size = spark.createDataFrame([(1920, 1080), (300, 200)], "w int, h int").select(tc.fitted(F.col("w"), F.col("h"))).collect()
+    assert [tuple(r[0]) for r in size] == [(720, 405), (300, 200)]
+
+
+def test_modes(spark):
+    assert config.detection("nope") == config.MODES["adaptive"] and config.detection("dynamic").merge_similar
+    assert config.detection("adaptive", auto=False).fades and not config.detection("static", auto=False, threshold=9).adaptive
+    assert (config.tag_limit(2), config.tag_limit(5), config.text_weight(0.4, False)) == (10, 5, 0.0)
+    assert "CATEGORY:" in config.scene_prompt(["A"]) and "NEGATIVE:" in config.contrast_prompt()
+    light = [50, 50, 5, 5, 5, 50, 50, 50, 5]
+    value = [0, 0, 0, 0, 0, 0, 40, 0, 0]
+    frames = spark.createDataFrame([(1, i, float(v), float(b)) for i, (v, b) in enumerate(zip(value, light))], "video_id long, frame_no long, value double, brightness double")
+    cuts = lambda d: sorted(r["frame_no"] for r in timeline.detect_cuts(frames, d).collect())
+    assert cuts(config.detection("static")) == [3, 6] and cuts(config.detection("adaptive")) == [6] and cuts(config.detection("dynamic")) == [3, 6]
