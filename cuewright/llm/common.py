@@ -15,10 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _work_root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK
+    return f"{root.rstrip('/')}/cuewright/{spark.sparkContext.applicationId}"
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK
-    return f"{root.rstrip('/')}/cuewright/{label}-{uuid.uuid4().hex}"
+    return f"{_work_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove this application's tables between steps, once no result that reads them is needed any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_work_root(spark))
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -48,3 +58,16 @@ def hashed_sample(df: DataFrame, key: Column, rows: int, seed: int = 17) -> Data
 def sized_broadcast(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; without, else (a shuffle join)."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
+
+
+def tidy() -> None:
+    """Give memory that a task no longer uses back to the system: workers live on between tasks, beside a large JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -31,7 +31,7 @@ WORDS = 150_000
 GRAMS = 150_000
 LONGEST = 5
 EVIDENCE = 25  # words that count at most towards the certainty of a score
-MEMO = 400_000  # words whose scores a worker keeps
+MEMO = 200_000  # words whose scores a worker keeps
 _WORD = re.compile(r"[^\W\d_]+")
 
 

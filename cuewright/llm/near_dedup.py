@@ -60,7 +60,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Elements and weights of texts; word hashes are kept between texts up to a bound."""
 
-    KEPT = 500_000
+    KEPT = 200_000
 
     def __init__(self):
         self.known: dict[str, int] = {}
@@ -221,6 +221,8 @@ def signed(docs: DataFrame) -> DataFrame:
                 x = shingle(text.as_py())
                 bands.append(bands_of(signature(*x)) if len(x[0]) else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "bands"])
+        del shingle
+        common.tidy()
 
     return keyed(docs).mapInArrow(sign, SIGNED)
 
@@ -283,6 +285,8 @@ def cluster_links(docs: DataFrame, clusters: DataFrame, threshold: float = THRES
             if found:
                 nodes = [r[4] for r in group]
                 yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], ["a", "b"])
+        del shingle
+        common.tidy()
 
     return grouped.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(within, LINKS)
 

@@ -73,10 +73,9 @@ def pieces(docs: DataFrame, groups: int, tokenizer: str, end_id: int, capacity:
     def cut(batches):
         enc, seen = tokens.encoder(tokenizer), Counter()
         for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in tokens.slices(texts):
+            for names, texts in tokens.slices(batch):
                 rows = []
-                for key, got in zip(names[a:b], enc.encode(texts[a:b])):
+                for key, got in zip(names, enc.encode(texts)):
                     raw = got + end
                     n, crc = len(raw) // 4, zlib.crc32(raw)
                     twin = seen[key, crc, n]  # equal rows of this task: spread by turns, whichever comes first

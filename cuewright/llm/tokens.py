@@ -14,6 +14,7 @@ import numpy as np
 
 _ALONE = re.compile(r"(?<=\S) (?=\S)")
 _ADJACENT = re.compile(r"\s\s")
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")  # letters by every version of Unicode
 
 
 def default_path() -> str:
@@ -26,7 +27,7 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
     #: Parts kept at most; further ones are encoded whenever they occur.
-    KEPT = 800_000
+    KEPT = 450_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -34,6 +35,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.tab,) = self.tokenizer.encode("\t", add_special_tokens=False).ids
+        self.marks = dict(zip(",.", self._encode([",", "."])))
         self.memo: dict[str, bytes] = {}
 
     def _parts(self, text: str) -> list[str]:
@@ -65,13 +67,16 @@ class Encoder:
             found = list(map(get, parts))
             holes = [i for i, x in enumerate(found) if x is None][1:]
             missed = [parts[i] for i in holes]
-            new.update(zip(missed, missed))
+            new.update(dict.fromkeys(missed))
             known.append(found)
             gaps.append((holes, missed))
-        order = [x for x in new if x and "\t" not in x and not x[-1].isspace()]
+        for x in new:
+            # letters and one mark are two pre-tokens: the letters may be known
+            if x[-1:] in self.marks and (ids := get(x[:-1])) is not None and _LETTERS.fullmatch(x, 0, len(x) - 1):
+                new[x] = ids + self.marks[x[-1]]
+        order = [x for x in new if new[x] is None and x and "\t" not in x and not x[-1].isspace()]
         new.update(zip(order, self._encode_rests(order)))
-        if len(order) < len(new):
-            odd = list(new.keys() - set(order))
+        if odd := [x for x, ids in new.items() if ids is None]:
             new.update(zip(odd, self._encode([" " + x for x in odd])))
         if len(memo) + len(new) <= self.KEPT:
             memo.update(new)
@@ -94,13 +99,14 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(texts: list, chars: int = 8_000_000):
-    """(from, to) of runs of at most ``chars`` characters, one text at least."""
-    a, n = 0, 0
-    for i, x in enumerate(texts):
-        if n and n + len(x or "") > chars:
-            yield a, i
-            a, n = i, 0
-        n += len(x or "")
-    if a < len(texts):
-        yield a, len(texts)
+def slices(batch, size: int = 1 << 20):
+    """(doc_ids, texts) of runs of rows of an Arrow batch with texts of about ``size`` bytes, one row at least."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a, done = 0, 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, done + size, side="right")))
+        part = batch.slice(a, b - a)
+        yield part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+        a, done = b, int(ends[b - 1])

@@ -37,7 +37,7 @@ TRAIN_DOCS = 3_000
 ORDER = 6
 DISCOUNT = 0.75
 WINDOW = 40
-MEMO = 500_000
+MEMO = 150_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -192,11 +192,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
         for a in range(0, len(keys), 50_000):
             part = keys[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part]), pa.array([2 * k[1] + k[2] for k in part], pa.int32()), pa.array([found[k] for k in part], pa.int64())], ["gram", "j", "n"])
+        del found, keys
+        common.tidy()
 
     counted = rows.mapInArrow(count, "gram string, j int, n long").groupBy("gram").agg(*(F.sum(F.when(F.col("j") == j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in range(4)))
     # bounded by the sample; n-grams of one occurrence only matter to the shared counts
-    table = counted.toPandas()
-    grams, n = table["gram"].tolist(), table[["n0", "n1", "n2", "n3"]].to_numpy()
+    table = counted.toArrow()
+    grams, n = table.column("gram").to_pylist(), np.stack([table.column(f"n{j}").to_numpy() for j in range(4)], axis=1)
 
     def ratio(use) -> Ratio:
         ordinary, toxic = n[:, [h for h in use]].sum(axis=1), n[:, [2 + h for h in use]].sum(axis=1)
@@ -209,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
         for batch in batches:
             texts, half = batch.column("text").to_pylist(), batch.column("half").to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([features(pair.value[h], t) for t, h in zip(texts, half)], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+        common.tidy()
 
     scored = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text", "half").mapInArrow(seen_by_other, "doc_id long, y int, x array<double>").orderBy("doc_id").collect()
     weights = logistic(np.array([r["x"] for r in scored]), np.array([r["y"] for r in scored], dtype=np.float64))
@@ -224,6 +227,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             got = np.array([use.score(x.as_py()) for x in batch.column("text")], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        common.tidy()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (common.fold() == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
@@ -237,6 +241,8 @@ def ordinary_only(docs: DataFrame, model: Model) -> DataFrame:
         use = shared.value
         for batch in batches:
             yield batch.filter(pa.array([use.score(x.as_py()) < 0.5 for x in batch.column("text")], pa.bool_()))
+        use.ratio and use.ratio.memo.clear()
+        common.tidy()
 
     return docs.mapInArrow(kept, docs.schema)
 
