@@ -10,7 +10,7 @@ Shards are rows of a Parquet table (``part, shard, first_pos, n_docs, n_tokens,
 committer makes the write safe against lost tasks, on any file system that Spark can write.
 
 Defined results: a null text is empty (only the end id); a null doc_id sorts first; rows that
-repeat a doc_id are separate documents, ordered by text; an empty table gives no rows.
+repeat a doc_id are separate documents, ordered by a hash of the text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from . import common, tokens
 
 MAGIC = b"CWR1"
 SCALE = 20  # frequencies sum to 2**SCALE
-LANES = 32
-STEPS = 1024  # steps between checkpoints
-BLOCK = LANES * STEPS * 4  # ids of a block
+LANES = 128
+STEPS = 512  # steps between checkpoints
+BLOCK = LANES * STEPS * 2  # ids of a block
 LOW = 1 << 31  # a state is in [LOW, LOW << 32)
 SHARD_IDS = 1 << 21  # a shard is closed at the first document end at or beyond this
 
@@ -96,11 +96,22 @@ def _encode_blocks(sym: np.ndarray, freq: np.ndarray, cum: np.ndarray) -> list[b
     return out
 
 
+def counted(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, the number of each id's place among them, and how often each occurs."""
+    if not len(flat) or int(flat.max()) >= 1 << 22:
+        return np.unique(flat, return_inverse=True, return_counts=True)
+    counts = np.bincount(flat)
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), dtype=np.int32)
+    place[symbols] = np.arange(len(symbols), dtype=np.int32)
+    return symbols, place[flat], counts[symbols]
+
+
 def encode_shard(doc_ids: list, ids: list[bytes]) -> bytes:
     """One shard of the documents' ids, given as little-endian unsigned 32-bit bytes."""
     lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
     flat = np.frombuffer(b"".join(ids), dtype="<u4")
-    symbols, sym, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    symbols, sym, counts = counted(flat)
     freq = quantised(counts.astype(np.float64)) if len(symbols) else np.zeros(0, dtype=np.int64)
     cum = np.concatenate([[0], np.cumsum(freq)])
     whole = len(flat) // BLOCK
@@ -198,9 +209,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         part = TaskContext.get().partitionId()
         row = lambda: pd.DataFrame({"part": [part], "shard": [shard], "first_pos": [pos], "n_docs": [len(keys)], "n_tokens": [n], "data": [encode_shard(keys, ids)]})
         for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in tokens.slices(texts):
-                for key, got in zip(names[a:b], enc.encode(texts[a:b])):
+            for names, texts in tokens.slices(batch):
+                for key, got in zip(names, enc.encode(texts)):
                     keys.append(key)
                     ids.append(got + end)
                     n += len(got) // 4 + 1
@@ -211,8 +221,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             yield _arrow(row())
 
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small = small.withColumn("h", F.xxhash64("text"))  # rows that share a doc_id may be in several ranges
     n = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = small.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     ordered.mapInArrow(shards, SHARDS).write.parquet(path)
 
 
