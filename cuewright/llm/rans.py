@@ -32,6 +32,7 @@ LANES = 128
 STEPS = 512  # steps between checkpoints
 BLOCK = LANES * STEPS * 2  # ids of a block
 LOW = 1 << 31  # a state is in [LOW, LOW << 32)
+WORD_MEMO = 1_400_000  # words whose ids a worker keeps; it has little else in memory
 SHARD_IDS = 1 << 21  # a shard is closed at the first document end at or beyond this
 
 
@@ -205,7 +206,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def shards(batches):
-        enc, keys, ids, n, shard, pos = tokens.encoder(tokenizer), [], [], 0, 0, 0
+        enc, keys, ids, n, shard, pos = tokens.encoder(tokenizer, WORD_MEMO), [], [], 0, 0, 0
         part = TaskContext.get().partitionId()
         row = lambda: pd.DataFrame({"part": [part], "shard": [shard], "first_pos": [pos], "n_docs": [len(keys)], "n_tokens": [n], "data": [encode_shard(keys, ids)]})
         for batch in batches:

@@ -26,10 +26,10 @@ def default_path() -> str:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    #: Parts kept at most; further ones are encoded whenever they occur.
+    #: Parts kept at most, about 180 bytes each; further ones are encoded whenever they occur.
     KEPT = 450_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -37,6 +37,7 @@ class Encoder:
         (self.tab,) = self.tokenizer.encode("\t", add_special_tokens=False).ids
         self.marks = dict(zip(",.", self._encode([",", "."])))
         self.memo: dict[str, bytes] = {}
+        self.kept = kept or self.KEPT
 
     def _parts(self, text: str) -> list[str]:
         """Cut at lone spaces.  All but the first part lack the space that they began with."""
@@ -78,7 +79,7 @@ class Encoder:
         new.update(zip(order, self._encode_rests(order)))
         if odd := [x for x, ids in new.items() if ids is None]:
             new.update(zip(odd, self._encode([" " + x for x in odd])))
-        if len(memo) + len(new) <= self.KEPT:
+        if len(memo) + len(new) <= self.kept:
             memo.update(new)
         out = []
         for first, found, (holes, missed) in zip(self._encode(firsts), known, gaps):
@@ -92,10 +93,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for ``path``, with its memo."""
+def encoder(path: str, kept: int | None = None) -> Encoder:
+    """This worker's encoder for ``path``, with its memo; the last bound asked for holds."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].kept = kept or Encoder.KEPT
     return _ENCODERS[path]
 
 

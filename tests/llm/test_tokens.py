@@ -35,8 +35,7 @@ def test_encoder_equals_library_on_any_text(text):
 
 
 def test_encoder_with_a_full_memo(enc):
-    small = tokens.Encoder(tokens.default_path())
-    small.KEPT = 2
+    small = tokens.Encoder(tokens.default_path(), 2)
     for _ in range(2):
         assert small.encode(["one two three four", "five six two"]) == enc.encode(["one two three four", "five six two"])
 
