@@ -1,7 +1,7 @@
 """Op 2: MPEG audio as a media column: frames, tags, variable-bitrate tables, checksums, durations, seek offsets.
 
 Reading (``parse``): an ID3v2 tag at the front and an ID3v1 tag at the end are parsed and
-skipped; frame headers of MPEG-1, 2 and 2.5, layers I to III are followed by their lengths;
+skipped, the latter only where no frame holds its place; frame headers of MPEG-1, 2 and 2.5, layers I to III are followed by their lengths;
 where a header is not valid, or disagrees with the stream, the reader moves on to the next place where two
 frames in a row fit together (resynchronisation); a first frame with a Xing, Info or VBRI table
 holds no samples and gives its counts and seek points; protected frames' CRC-16 is verified.
@@ -112,9 +112,9 @@ def _text(raw: bytes) -> str:
     return raw[1:].decode(kind, "replace").rstrip("\0")
 
 
-def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
-    """(text fields, where frames may start, where they end)."""
-    tags, start, end = {}, 0, len(data)
+def read_tags(data: bytes) -> tuple[dict[str, str], int]:
+    """(text fields of the tags at the front, where frames may start)."""
+    tags, start = {}, 0
     while data[start : start + 3] == b"ID3" and len(data) >= start + 10 and max(data[start + 6 : start + 10]) < 128:
         major, flags, size = data[start + 3], data[start + 5], _syncsafe(data[start + 6 : start + 10])
         at, stop = start + 10, min(len(data), start + 10 + size)
@@ -134,13 +134,13 @@ def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
                 tags[name] = value
             at += head + n
         start += 10 + size + (10 if flags & 0x10 else 0)
-    start = min(start, len(data))
-    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
-            if value := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
-                tags.setdefault(f"id3v1:{name}", value)
-    return tags, start, end
+    return tags, min(start, len(data))
+
+
+def read_last_tag(tag: bytes) -> dict[str, str]:
+    """The text fields of an ID3v1 tag."""
+    fields = ((f"id3v1:{name}", tag[a:b].split(b"\0")[0].decode("latin-1").strip()) for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)))
+    return {name: value for name, value in fields if value}
 
 
 def read_table(frame: bytes, h: Header) -> dict | None:
@@ -167,34 +167,42 @@ def read_table(frame: bytes, h: Header) -> dict | None:
 
 def parse(data: bytes) -> dict:
     """All that is read of a stream; see the module's text."""
-    tags, at, end = read_tags(data)
+    tags, at = read_tags(data)
+    end = len(data)
+    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":  # an ID3v1 tag, unless a frame holds its place
+        end -= 128
     offsets, sizes, bitrates, table = [], [], {}, None
     samples = crc_ok = crc_bad = resyncs = skipped = 0
     first: Header | None = None
     checked: dict[bytes, bool] = {}
+
+    def followed(stop: int, h: Header) -> bool:
+        """Whether at ``stop`` another frame starts, or the frames end."""
+        after = Header.of(data[stop : stop + 4])
+        return stop in (end, len(data)) or after is not None and after.fits(h)
+
     while at + 4 <= end:
         h = Header.of(data[at : at + 4])
         stop = at + h.size if h else 0
-        good = h is not None and stop <= end and (first is None or h.fits(first))
-        if good and (first is None or not offsets):  # a first frame must be followed by another, or the end
-            after = Header.of(data[stop : stop + 4])
-            good = stop == end or after is not None and after.fits(h)
+        good = h is not None and stop <= len(data) and (first is None or h.fits(first))
+        if good and (first is None or not offsets or stop > end):  # a first frame, or one over a tag's place, must be followed by another, or the end
+            good = followed(stop, h)
         if not good:
             resyncs += 1
             begin = at
             at += 1
             while (at := data.find(b"\xff", at, end - 3)) >= 0:
                 h = Header.of(data[at : at + 4])
-                if h and at + h.size <= end and (first is None or h.fits(first)):
-                    after = Header.of(data[at + h.size : at + h.size + 4])
-                    if at + h.size == end or after and after.fits(h):
-                        break
+                if h and at + h.size <= len(data) and (first is None or h.fits(first)) and followed(at + h.size, h):
+                    break
                 at += 1
             if at < 0:
                 skipped, at = skipped + end - begin, end
                 break
             skipped += at - begin
             continue
+        if stop > end:  # what looked like a tag is part of this frame
+            end = len(data)
         if h.protected and h.layer == 3:
             side = data[at : at + 6 + h.side]
             if side not in checked:
@@ -214,6 +222,8 @@ def parse(data: bytes) -> dict:
         bitrates[h.bitrate] = bitrates.get(h.bitrate, 0) + 1
         samples += h.samples
         at = stop
+    if end < len(data):
+        tags.update(read_last_tag(data[end:]))
     rate = first.rate if first else 1
     g = math.gcd(samples, rate)
     return {

@@ -183,6 +183,28 @@ def test_mpeg_round_trip(text):
     assert (found["version"], found["layer"], found["rate"]) == ("2", 3, 16000)
 
 
+@pytest.mark.parametrize("text", ["a" * 505 + "TAG" + "a" * 68, "b" * 5760 + "a" * 505 + "TAG" + "a" * 68, "a" * 505 + "TAG"])
+def test_mpeg_payload_that_looks_like_a_tag_at_the_end(text):
+    payload, n = mpeg.payload_of(text)
+    data = mpeg.carry(payload, n)
+    for tag, title in ((b"", None), (b"TAG" + b"name".ljust(125, b"\0"), "name")):
+        found = mpeg.parse(data + tag)
+        assert mpeg.carried(data + tag, found) == (payload, n, True)
+        assert (found["frames"], found["crc_bad"], found["resyncs"], found["skipped"]) == (len(payload) // 576, 0, 0, 0)
+        assert found["tags"].get("id3v1:title") == title
+    lost = bytearray(data)
+    lost[found["offsets"][0] - mpeg.FRAME] = 0  # the first frame: the last is found again
+    assert mpeg.parse(bytes(lost))["offsets"][-1] == found["offsets"][-1]
+    cut = mpeg.parse(data[:-200] + b"TAG" + b"name".ljust(125, b"\0"))  # a last frame that isn't whole, then a tag
+    assert cut["frames"] == found["frames"] - 1 and cut["tags"]["id3v1:title"] == "name"
+
+
+def test_mpeg_small_frames_over_the_place_of_a_tag():
+    frames = bytearray(frame(3, 3, 1, 0) * 5)
+    frames[-128:-125] = b"TAG"
+    assert mpeg.parse(bytes(frames))["frames"] == 5
+
+
 def test_mpeg_damage_and_junk():
     payload, n = mpeg.payload_of("hello " * 1000)
     data = mpeg.carry(payload, n)
