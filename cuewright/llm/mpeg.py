@@ -345,4 +345,4 @@ def probe(media: DataFrame) -> DataFrame:
 
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probe(encode(common.table(spark, sf_dir, "documents")))
+    return probe(common.stored(encode(common.table(spark, sf_dir, "documents")), "media"))

@@ -266,6 +266,13 @@ def test_op2(spark, duck):
         assert (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
 
 
+def test_mpeg_reads_stored_media(spark):
+    files = mpeg.op2_mpeg_audio(spark, SF).inputFiles()
+    assert files and all("/media-" in f for f in files)
+    kept = spark.read.parquet(*{f.rpartition("/")[0] for f in files})
+    assert kept.columns == ["doc_id", "media"] and kept.filter("length(media) >= 1296").count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def test_mpeg_columns_of_odd_rows(spark, docs):
     got = {r["doc_id"]: r for r in mpeg.probe(mpeg.encode(docs((1, None), (2, ""), (None, "x"), (3, "z" * 3_000_000), (4, "x"), (4, "x")))).collect()}
     assert got[1]["feature"] == got[2]["feature"] and got[1]["n_bytes"] == 0 and got[3]["n_bytes"] == 3_000_000
