@@ -5,8 +5,10 @@ Another word falls back to its character 5-grams, else 4-grams, and so on to sin
 first length at which the model knows any of the word's n-grams decides, by the mean of their log
 frequencies.  A text's language has the highest mean score of its words.
 
-The model is fitted on a bounded sample of labelled rows, ``TRAIN_DOCS`` (whole texts), and has
-``WORDS`` words and ``GRAMS`` n-grams at most, so it can be broadcast; every text is scored whole.
+The model is fitted on a bounded sample of labelled rows (whole texts): languages share ``TRAIN_DOCS`` evenly, one
+with fewer rows than its share gives all and leaves the rest to the others, and a share is ``LEAST_DOCS`` rows at least.
+It has ``WORDS`` words and ``GRAMS`` n-grams at most, so it can be broadcast: where there are more, the most frequent of
+each language in equal shares, then the most frequent of all.  Every text is scored whole.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is any text if there
 are no labelled rows; rows without a doc_id are never learned from, and their held_out is null; equal
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 TRAIN_DOCS = 8_000
+LEAST_DOCS = 100
 WORDS = 150_000
 GRAMS = 150_000
 LONGEST = 5
@@ -108,10 +111,48 @@ def _counts(rows: DataFrame, per_task, key: str, langs: int) -> DataFrame:
     return counted.groupBy(key).agg(*(F.sum(F.when(F.col("j") == j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in range(langs)), F.sum("n").alias("n"))
 
 
+def share(sizes: list[int], total: int, least: int = LEAST_DOCS) -> float:
+    """Rows for each language, so that all take ``total`` together; a language without so many gives what it has."""
+    level = math.inf
+    for i, n in enumerate(sorted(sizes)):
+        level = total / (len(sizes) - i)
+        if n > level:
+            return max(level, least)
+        total -= n
+    return math.inf
+
+
+def sampled(rows: DataFrame, train_docs: int) -> DataFrame:
+    """The labelled rows that a model learns from: of each language about its share, chosen by a hash of the doc_id."""
+    sizes = {x["lang"]: x["count"] for x in rows.groupBy("lang").count().collect()}
+    level = share(list(sizes.values()), train_docs)
+    cut = {lang: int(level / n * (1 << 30)) for lang, n in sizes.items() if n > level}
+    if not cut:
+        return rows
+    keep = F.coalesce(F.create_map(*(F.lit(x) for pair in cut.items() for x in pair))[F.col("lang")], F.lit(1 << 30))
+    return rows.filter(F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 30)) < keep)
+
+
+def top(counts: DataFrame, key: str, n: int, langs: int) -> dict[str, list[int]]:
+    """Counts by language of the ``n`` most frequent keys: of each language its share, then of all."""
+    counts = counts.filter("n > 2")
+    most = lambda by, k: ((x[0], list(x[1:-1])) for x in counts.orderBy(F.col(by).desc(), key).limit(k).collect())
+    every = list(most("n", n + 1))
+    if len(every) <= n:
+        return dict(every)
+    found = {}
+    for j in range(langs):
+        found.update((k, x) for k, x in most(f"n{j}", max(n // langs, 1)) if x[j])
+    for k, x in every:
+        if len(found) >= n:
+            break
+        found[k] = x
+    return found
+
+
 def fit(rows: DataFrame, train_docs: int = TRAIN_DOCS, words: int = WORDS, grams: int = GRAMS) -> Model:
     """The model of ``rows`` (doc_id, text, lang); rows with a null text or lang teach nothing."""
-    rows = common.hashed_sample(rows.filter("text is not null and lang is not null").select("doc_id", "text", "lang"), F.col("doc_id"), train_docs)
-    rows = common.stored(rows, "lang-sample")
+    rows = common.stored(sampled(rows.filter("text is not null and lang is not null").select("doc_id", "text", "lang"), train_docs), "lang-sample")
     langs = sorted(x["lang"] for x in rows.select("lang").distinct().collect())
     if not langs:
         return Model([], {}, {})
@@ -138,9 +179,8 @@ def fit(rows: DataFrame, train_docs: int = TRAIN_DOCS, words: int = WORDS, grams
         return found
 
     per_word = common.stored(_counts(rows, word_counts, "word", len(langs)), "lang-words")
-    per_gram = _counts(per_word, gram_counts, "gram", len(langs))
-    top = lambda df, key, n: {x[0]: list(x[1:-1]) for x in df.filter("n > 2").orderBy(F.col("n").desc(), key).limit(n).collect()}
-    return Model(langs, top(per_word, "word", words), top(per_gram, "gram", grams))
+    per_gram = common.stored(_counts(per_word, gram_counts, "gram", len(langs)), "lang-grams")
+    return Model(langs, top(per_word, "word", words, len(langs)), top(per_gram, "gram", grams, len(langs)))
 
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"

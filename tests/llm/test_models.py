@@ -44,6 +44,27 @@ def test_language_odd_tables(spark, docs):
     assert got[2]["lang_pred"] == "und" and got[None]["held_out"] is None and got[3]["lang_pred"] == "en"
 
 
+def test_language_of_few_rows_is_learned(spark):
+    """In a lopsided table a small language keeps its rows in the sample, and its words and n-grams in the cut."""
+    rng = random.Random(3)
+    large = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    small = ["".join(rng.choices("opqrstuv", k=5)) for _ in range(12)]
+    rows = [(i, " ".join(rng.choices(large, k=60)), "aa") for i in range(2000)] + [(2000 + i, " ".join(rng.choices(small, k=12)), "zz") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, train_docs=150, words=40, grams=200)
+    assert model.langs == ["aa", "zz"] and len(model.words) == 40 and len(model.grams) == 200
+    assert set(small) <= set(model.words)
+    assert model.predict(" ".join(small))[0] == "zz" and model.predict(" ".join(large))[0] == "aa"
+    taken = {r["lang"]: r["count"] for r in language.sampled(df, 150).groupBy("lang").count().collect()}
+    assert taken["zz"] == 12 and 100 < taken["aa"] < 180
+
+
+def test_language_shares():
+    assert language.share([], 10) == float("inf") and language.share([4, 6], 10) == float("inf")
+    assert language.share([10_000, 10], 1010) == 1000 and language.share([500, 500, 5000], 1500) == 500
+    assert language.share([1000] * 50, 100) == language.LEAST_DOCS
+
+
 def auc(pairs):
     pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
     return np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
