@@ -4,7 +4,8 @@ Reading (``parse``): an ID3v2 tag at the front and an ID3v1 tag at the end are p
 skipped, the latter only where no frame holds its place; frame headers of MPEG-1, 2 and 2.5, layers I to III are followed by their lengths;
 where a header is not valid, or disagrees with the stream, the reader moves on to the next place where two
 frames in a row fit together (resynchronisation); a first frame with a Xing, Info or VBRI table
-holds no samples and gives its counts and seek points; protected frames' CRC-16 is verified.
+holds no samples and gives its counts and seek points; protected frames' CRC-16 is verified, over the header and what
+their layer protects: bit allocation (I), bit allocation and scale factor selection (II), side information (III).
 The duration is exact: samples over sampling rate, as whole numbers.  Seek offsets are the byte
 offsets of all frames.
 
@@ -44,12 +45,14 @@ BITRATES = {
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 UNIT = 576
+# Layer II: bits of the allocation by subband.  MPEG-1's four tables (B.2a to d of 11172-3), then that of 13818-3.
+ALLOCATION = ([4] * 11 + [3] * 12 + [2] * 4, [4] * 11 + [3] * 12 + [2] * 7, [4] * 2 + [3] * 6, [4] * 2 + [3] * 10, [4] * 4 + [3] * 7 + [2] * 19)
 
 
 class Header:
     """A frame header's fields; ``of`` gives None for four bytes that are none."""
 
-    __slots__ = ("version", "layer", "protected", "bitrate", "rate", "padding", "mono", "samples", "size", "side")
+    __slots__ = ("version", "layer", "protected", "bitrate", "rate", "padding", "mono", "bound", "samples", "size", "side")
     _seen: dict[bytes, "Header | None"] = {}
 
     @classmethod
@@ -71,6 +74,7 @@ class Header:
         h.version, h.layer, h.protected = version, layer, not raw[1] & 1
         h.bitrate = BITRATES[1 if version == 3 else 2, layer][bits - 1]
         h.rate, h.padding, h.mono = RATES[version][rate], raw[2] >> 1 & 1, raw[3] >> 6 == 3
+        h.bound = 4 + 4 * (raw[3] >> 4 & 3) if raw[3] >> 6 == 1 else 32  # joint stereo: subbands from here on share their allocation
         h.samples = 384 if layer == 1 else 576 if layer == 3 and version != 3 else 1152
         if layer == 1:
             h.size = (12000 * h.bitrate // h.rate + h.padding) * 4
@@ -102,6 +106,41 @@ def crc16(data: bytes, crc: int = 0xFFFF) -> int:
     return crc
 
 
+def protected_bits(frame: bytes, h: Header) -> int:
+    """How many bits after the checksum it covers, beside the header."""
+    channels = 2 - h.mono
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (h.bound * channels + 32 - h.bound)
+    each = h.bitrate // channels
+    if h.version != 3:
+        widths = ALLOCATION[4]
+    elif each <= 48:
+        widths = ALLOCATION[3 if h.rate == 32000 else 2]
+    else:
+        widths = ALLOCATION[0 if each <= 80 or h.rate == 48000 else 1]
+    bits, at, used = int.from_bytes(frame[6:].ljust(64, b"\0")[:64], "big"), 0, 0
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < h.bound else 1):
+            at += width
+            if bits >> 512 - at & (1 << width) - 1:
+                used += 1 if band < h.bound else channels
+    return at + 2 * used
+
+
+def checksum_holds(frame: bytes, h: Header) -> bool:
+    """Whether a protected frame's CRC-16 is right."""
+    n = protected_bits(frame, h)
+    if 8 * (len(frame) - 6) < n:
+        return False
+    crc = crc16(frame[2:4] + frame[6 : 6 + n // 8])
+    for k in range(n % 8):
+        bit = frame[6 + n // 8] >> 7 - k & 1
+        crc = crc << 1 & 0xFFFF ^ (0x8005 if crc >> 15 ^ bit else 0)
+    return crc == frame[4] << 8 | frame[5]
+
+
 def _syncsafe(raw: bytes) -> int:
     return raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3]
 
@@ -203,12 +242,12 @@ def parse(data: bytes) -> dict:
             continue
         if stop > end:  # what looked like a tag is part of this frame
             end = len(data)
-        if h.protected and h.layer == 3:
-            side = data[at : at + 6 + h.side]
+        if h.protected:
+            side = data[at : min(at + (6 + h.side if h.layer == 3 else 70), stop)]
             if side not in checked:
                 if len(checked) > 4096:
                     checked.clear()
-                checked[side] = crc16(side[2:4] + side[6:]) == side[4] << 8 | side[5]
+                checked[side] = checksum_holds(side, h)
             crc_ok, crc_bad = crc_ok + checked[side], crc_bad + (not checked[side])
         if first is None:
             first = h

@@ -273,6 +273,36 @@ def test_mpeg_variable_rates_and_layers():
         assert got["samples"] == 3 * samples and got["layer"] == layer
 
 
+# (version, layer, bit rate's index, rate's index, mode, mode extension, body's first byte, bits covered): counted by hand from the standard's tables
+COVERED = [
+    (3, 1, 5, 0, 3, 0, 0, 128), (3, 1, 5, 0, 0, 0, 9, 256), (3, 1, 5, 0, 1, 1, 9, 160), (2, 1, 5, 0, 2, 0, 0, 256),
+    (3, 2, 8, 0, 0, 0, 0, 176), (3, 2, 8, 0, 1, 0, 0, 104), (3, 2, 8, 0, 3, 0, 0, 94), (3, 2, 8, 1, 3, 0, 0, 88), (3, 2, 1, 0, 3, 0, 0, 26), (3, 2, 1, 2, 3, 0, 0, 38),
+    (2, 2, 5, 0, 3, 0, 0, 75), (2, 2, 5, 0, 3, 0, 0x11, 79), (2, 2, 5, 0, 0, 0, 0x11, 154), (0, 2, 5, 0, 1, 0, 0, 91), (2, 3, 5, 0, 3, 0, 0, 72),
+]
+
+
+@pytest.mark.parametrize("version, layer, bits, rate, mode, extension, body, covered", COVERED)
+def test_mpeg_checksums_of_all_layers(version, layer, bits, rate, mode, extension, body, covered):
+    one = bytearray(frame(version, layer, bits, rate, mode, True))
+    one[3] |= extension << 4
+    one[6] = body
+    text = "".join(f"{x:08b}" for x in one[2:4] + one[6:])[: 16 + covered]
+    crc = 0xFFFF
+    for bit in text:  # long division, bit by bit
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15) != int(bit) else 0)) & 0xFFFF
+    one[4:6] = crc.to_bytes(2, "big")
+    found = mpeg.parse(bytes(one) * 3)
+    assert (found["frames"], found["crc_ok"], found["crc_bad"], found["layer"]) == (3, 3, 0, layer)
+    bad = bytearray(one)
+    bad[5] ^= 1
+    last, after = bytearray(one), bytearray(one)
+    after[6 + covered // 8] ^= 128 >> covered % 8  # the first bit that isn't covered
+    last[6 + (covered - 1) // 8] ^= 128 >> (covered - 1) % 8
+    for other, n in ((bad, 1), (last, 1), (after, 0)):
+        found = mpeg.parse(bytes(one + other + one))
+        assert (found["frames"], found["crc_ok"], found["crc_bad"]) == (3, 3 - n, n)
+
+
 def test_crc16():
     assert mpeg.crc16(b"123456789", 0) == 0xFEE8  # CRC-16/UMTS
 
