@@ -9,6 +9,8 @@ the rest, a sample without replacement whose size in words is fixed: documents a
 their random odds u / (1 - u) over their inclusion odds p / (1 - p) and taken in that order up
 to the words still wanted.  The last place goes to the document, among those next in line, that
 brings the sum nearest to the target (or to none).  u is a hash of the document, so reruns agree.
+p is the same for all documents of a source, which are ranked apart from those of others, so the order within a
+source is that of u: a simple random order.
 
 The threshold of each source is found without ordering it as a whole: rank keys fall into
 equal-width buckets (a monotone map), words are summed by bucket, and only the bucket in which
