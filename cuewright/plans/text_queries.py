@@ -287,7 +287,7 @@ FROM s
 
 
 def description_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category that the words of conversation texts hint at."""
+    """Category that the words of made-up sentences hint at, one for each turn."""
     words = [p for p, _ in rules.DESCRIPTION_HINTS] + ["nothing"]
     c = inputs.table(spark, sf_dir, "conversations")
     n = (F.col("conv_id") * 3 + F.col("turn")) % 15
@@ -303,8 +303,18 @@ SELECT conv_id, turn, CASE {" ".join(f"WHEN contains(d, '{p}') THEN '{v}'" for p
 """
 
 
+def conversation_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category that the words of whole conversation texts hint at."""
+    return inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.category_of_description(F.col("text")).alias("category"))
+
+
+CONVERSATION_SQL = f"""
+SELECT conv_id, turn, CASE {" ".join(f"WHEN contains(lower(text), '{p}') THEN '{v}'" for p, v in rules.DESCRIPTION_HINTS)} ELSE 'AMB-ROOM-TONE' END AS category FROM conversations
+"""
+
+
 def file_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Display names, stems, project names and URLs of page addresses taken as paths."""
+    """Display names, stems, project names and URLs of made-up paths, one for each page."""
     p = inputs.table(spark, sf_dir, "pages")
     path = F.concat(F.lit("/v/My Film ("), F.col("page_id").cast("string"), F.lit(").cut.mp4"))
     return p.select("page_id", tx.basename(path).alias("name"), tx.stem(path).alias("stem"), tx.project_name(path).alias("project"), tx.file_url(path).alias("url"))
@@ -314,6 +324,18 @@ FILE_SQL = """
 SELECT page_id, 'My Film (' || page_id || ').cut.mp4' AS name, 'My Film (' || page_id || ').cut' AS stem, 'My_Film__' || page_id || '_.cut' AS project, 'file:///v/My Film (' || page_id || ').cut.mp4' AS url FROM pages
 """
 
+
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display names, stems, project names and URLs of whole page addresses taken as paths."""
+    url = F.col("url")
+    return inputs.table(spark, sf_dir, "pages").select("page_id", tx.basename(url).alias("name"), tx.stem(url).alias("stem"), tx.project_name(url).alias("project"), tx.file_url(url).alias("url"))
+
+
+PAGE_SQL = r"""
+WITH n AS (SELECT page_id, url, string_split(url, '/')[-1] AS name FROM pages), s AS (SELECT *, regexp_replace(name, '(.)\.[^.]*$', '\1') AS stem FROM n)
+SELECT page_id, name, stem, translate(stem, ' ()', '___') AS project, 'file://' || CASE WHEN starts_with(url, '/') THEN '' ELSE '/' END || url AS url FROM s
+"""
+
 QUERIES = {
     "captions": captions,
     "vlm_parse": vlm_parse,
@@ -326,7 +348,9 @@ QUERIES = {
     "model_rank": model_rank,
     "scene_map": scene_map,
     "description_categories": description_categories,
+    "conversation_categories": conversation_categories,
     "file_labels": file_labels,
+    "page_labels": page_labels,
 }
 
 ORACLE_SQL = {
@@ -341,5 +365,7 @@ ORACLE_SQL = {
     "model_rank": MODEL_SQL,
     "scene_map": SCENE_MAP_SQL,
     "description_categories": _description_sql(),
+    "conversation_categories": CONVERSATION_SQL,
     "file_labels": FILE_SQL,
+    "page_labels": PAGE_SQL,
 }

@@ -3,11 +3,13 @@
 import json
 
 import pytest
+from helpers import SF
 from pyspark.sql import functions as F
 
 from cuewright import rules
 from cuewright.functions import text as tx
 from cuewright.operators import scenemap
+from cuewright.plans import registry
 
 
 def one(spark, value, column, kind="string"):
@@ -126,3 +128,14 @@ def test_scene_map_shapes(spark):
     assert (got[2]["mood"], got[2]["tags"], got[4]["mood"]) == ("", [], "")
     assert got[3]["intensity"] == 0.5 and got[3]["sound_layers"][0].asDict() == {"type": "ambience", "description": "d", "weight": 0.0}
     assert [got[k]["duration_flexibility"] for k in range(5)] == ["exact", "strict", "strict", "strict", "strict"]
+
+
+def test_queries_read_whole_texts_and_addresses(spark):
+    texts = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    for r in registry.QUERIES["conversation_categories"](spark, SF).collect():
+        text = (texts[r["conv_id"], r["turn"]] or "").lower()
+        assert r["category"] == next((v for p, v in rules.DESCRIPTION_HINTS if p in text), rules.ROOM_TONE)
+    urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = registry.QUERIES["page_labels"](spark, SF).collect()
+    assert {r["page_id"]: r["url"] for r in got} == {k: f"file:///{u}" for k, u in urls.items()}
+    assert all(r["name"] == urls[r["page_id"]].rpartition("/")[2] for r in got) and len({r["name"] for r in got}) > 15
