@@ -168,6 +168,12 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x), na_action=None)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nfkc_all(tags: pd.Series) -> pd.Series:
+    """``nfkc`` of every text of an array."""
+    return tags.map(lambda a: None if a is None else [x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in a], na_action=None)
+
+
 def clean_tag(tag: Column) -> Column:
     """A tag already in compatibility form: letters, digits, hyphens, apostrophes, single spaces."""
     x = F.regexp_replace(strip(F.lower(tag)), r"<\s*(\d)", "under $1")
@@ -177,8 +183,14 @@ def clean_tag(tag: Column) -> Column:
 
 
 def tags(raw: Column, most: int = 10) -> Column:
-    """Distinct cleaned tags of an array, in order of first occurrence, ``most`` at most."""
-    cleaned = F.filter(F.transform(F.coalesce(raw, F.array().cast("array<string>")), clean_tag), lambda t: (F.char_length(t) > 2) & ~t.isin(*rules.STOP_WORDS))
+    """Distinct cleaned tags of an array, in order of first occurrence, ``most`` at most.
+
+    Tags are brought into compatibility form first (ligatures, full-width letters); plain ASCII has that already, so Python only sees arrays with other letters.
+    """
+    given = F.coalesce(raw, F.array().cast("array<string>"))
+    foreign = F.exists(given, lambda t: F.octet_length(t) != F.char_length(t))
+    formed = F.coalesce(nfkc_all(F.when(foreign, given)), given)
+    cleaned = F.filter(F.transform(formed, clean_tag), lambda t: (F.char_length(t) > 2) & ~t.isin(*rules.STOP_WORDS))
     return F.slice(F.array_distinct(cleaned), 1, most)
 
 

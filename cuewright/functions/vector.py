@@ -12,6 +12,13 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def usable(v: Column) -> Column:
+    """The vector in doubles; null if it is zero, or holds a null or a number that isn't finite."""
+    d = doubles(v)
+    bad = F.exists(d, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(~bad & F.exists(d, lambda x: x != 0), d)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

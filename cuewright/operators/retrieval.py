@@ -1,23 +1,22 @@
 """Exact hybrid retrieval: similarity, fusion, negative penalty, category scope, top-k, re-ranking, confidence.
 
-A stated set of queries is searched against every library row, a block of queries at a time: a block has a fixed number of
-queries and is all that is broadcast.  Each task multiplies its batches of library rows with the block and keeps its best rows of each query; only those
-are shuffled, and a ranked window merges them.
+A stated set of queries is searched against every library row in one scan (``operators.blocks``): a task holds a block of queries and streams a chunk of
+the library past it, keeping the best rows of each query; only those are shuffled, and a ranked window merges them.  No query reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright import rules
 from cuewright.functions import text as tx
 from cuewright.functions import vector as vx
+from cuewright.operators import blocks
 
 
 @dataclass(frozen=True)
@@ -32,10 +31,14 @@ class SearchParams:
 
 
 def prepared(library: DataFrame) -> DataFrame:
-    """``library`` with unit vectors; where the index has no text vectors, ``text_emb`` is null."""
+    """``library`` with vectors of doubles, without rows whose sound vector is null, zero, or holds a null or a number that isn't finite.
+
+    A text vector of that kind, or none in the whole index, is a null ``text_emb``.
+    """
     text = F.col("text_emb") if "text_emb" in library.columns else F.lit(None).cast("array<double>")
     catid = F.col("catid") if "catid" in library.columns else F.lit(None).cast("string")
-    return library.select("path", catid.alias("catid"), vx.doubles(F.col("audio_emb")).alias("audio_emb"), vx.doubles(text).alias("text_emb"))
+    rows = library.select("path", catid.alias("catid"), vx.usable(F.col("audio_emb")).alias("audio_emb"), vx.usable(text).alias("text_emb"))
+    return rows.filter("path is not null and audio_emb is not null")
 
 
 def with_negatives(library: DataFrame, negatives: DataFrame, text_weight: float = 0.4) -> DataFrame:
@@ -43,7 +46,7 @@ def with_negatives(library: DataFrame, negatives: DataFrame, text_weight: float
 
     Negatives are what a user types: they travel as one row of vectors, and nothing is shuffled.
     """
-    unit = negatives.select(vx.normalised(F.col("query_emb")).alias("v")).filter("v is not null")
+    unit = negatives.select(vx.normalised(vx.usable(F.col("query_emb"))).alias("v")).filter("v is not null")
     held = library.crossJoin(F.broadcast(unit.agg(F.collect_list("v").alias("_neg"))))
 
     def fused(v: Column) -> Column:
@@ -72,62 +75,70 @@ def ranked(scored: DataFrame, score: str, k: int, tie: str = "path", name: str =
 HITS = "query_id long, path string, catid string, score double, audio_sim double, text_sim double, neg_sim double"
 
 
-def _best_of_task(block, params: SearchParams):
-    """A function for mapInPandas: the best rows of each batch for each query of the block."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix, allowed = block.value
-        k, w = params.top_k, params.text_weight
-        for frame in batches:
-            frame = frame[frame["audio_emb"].notna()].reset_index(drop=True)
-            if frame.empty:
-                continue
-            audio = np.stack(frame["audio_emb"]) @ matrix.T
-            text = np.zeros_like(audio)
-            held = np.flatnonzero(frame["text_emb"].notna())
-            if len(held):
-                text[held] = np.stack(frame["text_emb"].iloc[held]) @ matrix.T
-            negative = frame["neg_sim"].to_numpy(dtype=np.float64)
-            score = np.round(audio * (1 - w) + text * w - params.neg_alpha * negative[:, None], vx.DIGITS)
-            paths, catids = frame["path"].to_numpy(), frame["catid"].to_numpy()
-            masks = {names: np.isin(catids.astype(str), names) for names in set(allowed) if names is not None}
-            for j, query in enumerate(ids):
-                s = score[:, j]
-                ok = np.ones(len(s), dtype=bool) if allowed[j] is None else masks[allowed[j]]
-                if params.min_score is not None:
-                    ok = ok & (s >= params.min_score)
-                at = np.flatnonzero(ok)
-                if len(at) > k:
-                    at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]  # ties at the floor stay
-                at = at[np.lexsort((paths[at], -s[at]))[:k]]
-                if len(at):
-                    yield pd.DataFrame({"query_id": query, "path": paths[at], "catid": catids[at], "score": s[at], "audio_sim": audio[at, j], "text_sim": text[at, j], "neg_sim": negative[at]})
-
-    return run
+class _Search:
+    """A block of queries (query_id, v, allowed) and its best library rows so far."""
+
+    def __init__(self, params: SearchParams):
+        self.params, self.ids, self.vectors, self.allowed = params, [], [], []
+        self.best: blocks.Best | None = None
+        self.rows, self.count = [], 0
+
+    def add_queries(self, queries: pa.StructArray) -> None:
+        self.ids += queries.field("query_id").to_pylist()
+        self.vectors.append(queries.field("v"))
+        self.allowed += [None if x is None else tuple(x) for x in queries.field("allowed").to_pylist()]
+
+    def add_rows(self, rows: pa.StructArray) -> None:
+        if not self.ids or not len(rows):
+            return
+        if self.best is None:
+            self.matrix = blocks.matrix(pa.concat_arrays(self.vectors))
+            self.best = blocks.Best(len(self.ids), self.params.top_k)
+            self.scopes = {names: np.array([x == names for x in self.allowed]) for names in set(self.allowed) if names is not None}
+        w, width = self.params.text_weight, self.matrix.shape[1]
+        audio = self.matrix @ blocks.matrix(rows.field("audio_emb"), width).T
+        text_emb = rows.field("text_emb")
+        held = np.flatnonzero(text_emb.is_valid().to_numpy(zero_copy_only=False))
+        text = np.zeros_like(audio)
+        if len(held):
+            text[:, held] = self.matrix @ blocks.matrix(text_emb.take(pa.array(held)), width).T
+        negative = rows.field("neg_sim").to_numpy(zero_copy_only=False)
+        score = np.round(audio * (1 - w) + text * w - self.params.neg_alpha * negative, vx.DIGITS)
+        ok = np.isfinite(score)
+        catids = rows.field("catid").to_numpy(zero_copy_only=False).astype(object)
+        for names, who in self.scopes.items():
+            ok[who] &= np.array([c in names for c in catids])
+        if self.params.min_score is not None:
+            ok &= score >= self.params.min_score
+        whole = np.rint(np.where(ok, score, 0.0) * 10**vx.DIGITS).astype(np.int64)
+        self.best.add(whole, rows.field("path").to_numpy(zero_copy_only=False), ok, lambda q, at: [score[q, at], audio[q, at], text[q, at], negative[at], catids[at]])
+
+    def result(self) -> pa.RecordBatch | None:
+        found = self.best.result() if self.best else None
+        if found is None:
+            return None
+        query, _, path, score, audio, text, negative, catid = found
+        columns = [pa.array(np.array(self.ids, dtype=np.int64)[query]), pa.array(path, pa.string()), pa.array(catid, pa.string()), *map(pa.array, (score, audio, text, negative))]
+        return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in HITS.split(", ")])
 
 
 def search(queries: DataFrame, library: DataFrame, params: SearchParams = SearchParams(), negatives: DataFrame | None = None, scoped: bool = False) -> DataFrame:
     """Hits (query_id, rank, path, catid, score, audio_sim, text_sim, neg_sim) of ``queries`` (query_id, query_emb, and category if ``scoped``).
 
-    Scores are rounded before they are ranked, ties go by path.  Rows and queries whose vector is null or zero take no part; a row
-    without a text vector has text_sim 0, and its audio part is still scaled by 1 - text_weight.
+    Scores are rounded before they are ranked, ties go by path.  Rows and queries whose vector is null, zero, or not all of finite numbers take no
+    part; a row without a text vector has text_sim 0, and its audio part is still scaled by 1 - text_weight.
     """
-    spark, lib = library.sparkSession, prepared(library)
+    lib = prepared(library)
     against = negatives is not None and params.neg_alpha > 0
     lib = with_negatives(lib, negatives, params.text_weight) if against else lib.withColumn("neg_sim", F.lit(0.0))
-    scopes = {r["category"]: tuple(r["allowed"]) for r in active_scopes(library, params.scope_floor).collect()} if scoped else {}
-    category = F.col("category") if scoped else F.lit(None).cast("string")
-    q = queries.select("query_id", vx.normalised(F.col("query_emb")).alias("v"), category.alias("category")).filter("v is not null")
-    blocks, out = max(1, -(-q.count() // params.query_block)), None
-    for b in range(blocks):
-        rows = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        if rows:
-            sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["v"] for r in rows]), [scopes.get(r["category"]) for r in rows]))
-            found = lib.mapInPandas(_best_of_task(sent, params), HITS)
-            out = found if out is None else out.union(found)
-    out = spark.createDataFrame([], HITS) if out is None else out
+    q = queries.filter("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), vx.normalised(vx.usable(F.col("query_emb"))).alias("v"), *(["category"] if scoped else []))
+    if scoped:  # scopes are as few as the rule tables
+        q = q.join(F.broadcast(active_scopes(library, params.scope_floor)), "category", "left").drop("category")
+    else:
+        q = q.withColumn("allowed", F.lit(None).cast("array<string>"))
+    hits = blocks.searched(q.filter("v is not null").select("query_id", "v", "allowed"), lib, "query_id", ["path"], lambda: _Search(params), HITS, params.query_block)
     sims = [vx.rounded(F.col(c)).alias(c) for c in ("audio_sim", "text_sim", "neg_sim")]
-    return ranked(out, "score", params.top_k).select("query_id", "rank", "path", "catid", "score", *sims)
+    return ranked(hits, "score", params.top_k).select("query_id", "rank", "path", "catid", "score", *sims)
 
 
 def rerank(candidates: DataFrame) -> DataFrame:

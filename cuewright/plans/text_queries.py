@@ -183,12 +183,14 @@ SELECT event_id, j IS NOT NULL AS parsed, json_extract_string(j, '$.k') AS k FRO
 def tags_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = inputs.table(spark, sf_dir, "part")
     raw = F.array(F.lit("Rain<2sec"), F.lit("The"), F.col("p_name"), F.lower("p_name"), F.lit("ok"), F.col("p_type"), F.concat(F.lit("wind! "), F.col("p_brand")), F.lit("> 5 bars"), F.lit("it’s"))
-    return p.select("p_partkey", F.array_join(tx.tags(F.transform(raw, lambda t: t), 6), "|").alias("tags"))
+    wide = F.concat(F.lit("ﬁre "), F.translate(F.lower("p_brand"), "abdnr", "ａｂｄｎｒ"))  # a ligature, full-width letters
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.array(wide, F.lit("Ｒａｉｎ")), raw)).otherwise(raw)
+    return p.select("p_partkey", F.array_join(tx.tags(raw, 6), "|").alias("tags"))
 
 
 TAGS_SQL = f"""
 WITH r AS (
-  SELECT p_partkey, ['Rain<2sec', 'The', p_name, lower(p_name), 'ok', p_type, 'wind! ' || p_brand, '> 5 bars', 'it’s'] AS raw FROM part
+  SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN ['fire ' || p_brand, 'rain'] ELSE [] END || ['Rain<2sec', 'The', p_name, lower(p_name), 'ok', p_type, 'wind! ' || p_brand, '> 5 bars', 'it’s'] AS raw FROM part
 ), c AS (
   SELECT p_partkey, list_transform(raw, lambda t: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(trim(t)), '’', ''''), '<\\s*(\\d)', 'under \\1', 'g'), '>\\s*(\\d)', 'over \\1', 'g'),
     '[^a-z0-9 ''-]', '', 'g'), ' +', ' ', 'g'))) AS tags FROM r
