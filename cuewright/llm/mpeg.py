@@ -4,10 +4,10 @@ Reading (``parse``): an ID3v2 tag at the front and an ID3v1 tag at the end are p
 skipped, the latter only where no frame holds its place; frame headers of MPEG-1, 2 and 2.5, layers I to III are followed by their lengths;
 where a header is not valid, or disagrees with the stream, the reader moves on to the next place where two
 frames in a row fit together (resynchronisation); a first frame with a Xing, Info or VBRI table
-holds no samples and gives its counts and seek points; protected frames' CRC-16 is verified, over the header and what
+holds no samples and gives its counts and seek points, which are held against the frames that are found (``table_check``); protected frames' CRC-16 is verified, over the header and what
 their layer protects: bit allocation (I), bit allocation and scale factor selection (II), side information (III).
 The duration is exact: samples over sampling rate, as whole numbers.  Seek offsets are the byte
-offsets of all frames.
+offsets of all frames.  A stream of free format (no bit rate in its headers) is not followed: its frames count as none.
 
 Writing (``carry``): 576 payload bytes to a frame of MPEG-2 layer III, mono, 16 kHz, 144 kbit/s.  Its side
 information gives a main-data length of 0, so a player hears silence and the bytes are ancillary
@@ -16,7 +16,8 @@ payload's length and CRC-32, and an Info frame holds the number of frames and by
 
 Defined results: a null text is empty; an empty text is one frame of bytes 255; bytes that hold
 no frame give zero frames and a duration of 0; a broken header or checksum is counted, never
-raised; equal bytes give equal values; rows may repeat; an empty table gives no rows.
+raised; equal bytes give equal values; rows may repeat; other columns are not read, whatever their names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -204,6 +205,31 @@ def read_table(frame: bytes, h: Header) -> dict | None:
     return None
 
 
+def table_check(table: dict | None, offsets: list[int], sizes: list[int]) -> dict | None:
+    """How a table agrees with the frames: whether its counts are theirs, and by how many bytes its seek points miss theirs at most.
+
+    Seek point k of n stands for the frame at the share k / n of all; a VBRI point is a length, a Xing point a share of the bytes in 256ths.
+    """
+    if not table or not offsets:
+        return None
+    first, last = table["at"], offsets[-1] + sizes[-1]
+    out = {"frames_ok": table.get("frames") in (None, len(offsets)), "bytes_ok": table.get("bytes") in (None, last - first), "toc_miss": None}
+    toc, at = table.get("toc"), offsets + [last]
+    if toc and table["kind"] == "VBRI":
+        ends = np.cumsum(toc)
+        true = [at[len(offsets) * (k + 1) // len(toc)] - offsets[0] for k in range(len(toc))]
+        out["toc_miss"] = int(np.abs(ends - np.array(true)).max())
+    elif toc:
+        out["toc_miss"] = max(abs(x * (last - first) // 256 - (at[len(offsets) * k // 100] - first)) for k, x in enumerate(toc))
+    return out
+
+
+def seek(found: dict, share: float) -> int:
+    """The byte offset of the frame that holds the moment at ``share`` (0 to 1) of the duration: exact, whatever the table says."""
+    at = found["offsets"]
+    return at[min(len(at) - 1, int(share * len(at)))] if at else 0
+
+
 def parse(data: bytes) -> dict:
     """All that is read of a stream; see the module's text."""
     tags, at = read_tags(data)
@@ -266,7 +292,7 @@ def parse(data: bytes) -> dict:
     rate = first.rate if first else 1
     g = math.gcd(samples, rate)
     return {
-        "tags": tags, "table": table, "frames": len(offsets), "samples": samples, "rate": first.rate if first else 0, "duration": [samples // g, rate // g],
+        "tags": tags, "table": table, "table_check": table_check(table, offsets, sizes), "frames": len(offsets), "samples": samples, "rate": first.rate if first else 0, "duration": [samples // g, rate // g],
         "bitrates": bitrates, "crc_ok": crc_ok, "crc_bad": crc_bad, "resyncs": resyncs, "skipped": skipped + max(0, end - at), "offsets": offsets, "sizes": sizes,
         "version": {3: "1", 2: "2", 0: "2.5"}[first.version] if first else "", "layer": first.layer if first else 0,
     }
@@ -328,7 +354,7 @@ def feature_of(found: dict, payload: bytes) -> str:
         | {
             "bitrates": {str(k): found["bitrates"][k] for k in sorted(found["bitrates"])},
             "table": {k: found["table"][k] for k in ("kind", "frames", "bytes") if k in found["table"]} if found["table"] else None,
-            "seek_crc32": zlib.crc32(offsets.tobytes()),
+            "table_check": found["table_check"], "seek_crc32": zlib.crc32(offsets.tobytes()),
             "sample_sum": int(x.sum()), "sample_energy": int((x * x).sum()), "crossings": int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128))),
         },
         sort_keys=True, separators=(",", ":"),

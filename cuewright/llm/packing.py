@@ -9,7 +9,8 @@ Only lengths and checksums are shuffled, never texts or ids.
 Defined results: a null text is empty (one piece, the end id alone); rows that repeat a
 doc_id are separate documents; a null doc_id is packed as any other; equal lengths go by
 doc_id and checksum; an empty table gives no rows.  No piece or group is dropped or capped: a
-group's expected size is a parameter, and rows that are alike in id and text are spread too.
+group's expected size is a parameter, and rows that are alike in id and text are spread too: by turns within a task, which is all
+that may differ between runs (it is the same for rows that don't repeat).  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from . import common, tokens
 
 CAPACITY = 2048
 GROUP = 2000  # documents of a group, expected
+TURNS = 100_000  # rows whose repeats a task counts at a time
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket long, twin int"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -78,6 +80,8 @@ def pieces(docs: DataFrame, groups: int, tokenizer: str, end_id: int, capacity:
                 for key, got in zip(names, enc.encode(texts)):
                     raw = got + end
                     n, crc = len(raw) // 4, zlib.crc32(raw)
+                    if len(seen) >= TURNS:  # what repeats often is met again
+                        seen.clear()
                     twin = seen[key, crc, n]  # equal rows of this task: spread by turns, whichever comes first
                     seen[key, crc, n] += 1
                     bucket = zlib.crc32(f"{seed} {key} {crc} {n} {twin // 64}".encode()) % groups

@@ -10,7 +10,8 @@ Shards are rows of a Parquet table (``part, shard, first_pos, n_docs, n_tokens,
 committer makes the write safe against lost tasks, on any file system that Spark can write.
 
 Defined results: a null text is empty (only the end id); a null doc_id sorts first; rows that
-repeat a doc_id are separate documents, ordered by a hash of the text; an empty table gives no rows.
+repeat a doc_id are separate documents, ordered by a hash of the text; other columns are not read, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,11 +57,11 @@ def quantised(counts: np.ndarray) -> np.ndarray:
     return freq
 
 
-def _varints(values: np.ndarray) -> bytes:
+def _packed(values: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(values, dtype="<i8").tobytes(), 6)
 
 
-def _unvarints(data: bytes) -> np.ndarray:
+def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), dtype="<i8")
 
 
@@ -122,7 +123,7 @@ def encode_shard(doc_ids: list, ids: list[bytes]) -> bytes:
     blocks = [x + struct.pack("<I", zlib.crc32(flat[i * BLOCK : (i + 1) * BLOCK].tobytes())) for i, x in enumerate(blocks)]
     known = np.array([x is not None for x in doc_ids], dtype=np.int64)
     keys = np.array([x or 0 for x in doc_ids], dtype=np.int64)
-    parts = [_varints(np.diff(symbols.astype(np.int64), prepend=0)), _varints(freq), _varints(np.diff(keys, prepend=0)), _varints(known), _varints(lengths)]
+    parts = [_packed(np.diff(symbols.astype(np.int64), prepend=0)), _packed(freq), _packed(np.diff(keys, prepend=0)), _packed(known), _packed(lengths)]
     body = struct.pack("<IQI", len(doc_ids), len(flat), len(blocks))
     body += b"".join(struct.pack("<I", len(x)) + x for x in [*parts, *blocks])
     return MAGIC + body + struct.pack("<I", zlib.crc32(body))
@@ -178,7 +179,7 @@ def decode_shard(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
         (size,) = struct.unpack_from("<I", data, at)
         parts.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    symbols, freq, keys, known, lengths = map(_unvarints, parts[:5])
+    symbols, freq, keys, known, lengths = map(_unpacked, parts[:5])
     symbols, keys = np.cumsum(symbols).astype(np.uint32), np.cumsum(keys)
     cum, blocks = np.concatenate([[0], np.cumsum(freq)]), parts[5:]
     slots = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
@@ -200,7 +201,9 @@ SHARDS = "part int, shard int, first_pos long, n_docs long, n_tokens long, data
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
     """Encode ``docs`` (doc_id, text) in ascending doc_id order and write the shards to ``path``.
 
-    One shuffle by ranges of doc_id brings the order; a range is as large as an input partition.
+    One shuffle by ranges of doc_id brings the order.  There are as many ranges as the input has partitions (which follow its
+    bytes), and ``spark.sql.shuffle.partitions`` or the cluster's cores at least; a shard is closed by size, so a task never holds more
+    than one.
     """
     tokenizer = tokenizer or tokens.default_path()
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -223,7 +226,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     small = small.withColumn("h", F.xxhash64("text"))  # rows that share a doc_id may be in several ranges
-    n = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = docs.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), small._jdf.queryExecution().toRdd().getNumPartitions())
     ordered = small.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     ordered.mapInArrow(shards, SHARDS).write.parquet(path)
 

@@ -10,7 +10,8 @@ The main path is DataFrame functions only.  Nothing is shuffled, so no key can b
 without a doc_id are dealt by a hash of their text, so that many of them don't meet in a shard.
 
 Defined results: a null doc_id is placed by its text, without either at the hash of the empty
-string; rows that repeat a doc_id share its shard; an empty table gives no rows.
+string; rows that repeat a doc_id share its shard; columns ``slot`` and ``shard`` are replaced, others pass through whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -70,9 +71,15 @@ def place(docs: DataFrame, names: list[str], slots: int | None = None, weights:
     return placed.join(F.broadcast(claimed), "slot", "left")
 
 
-def write_sharded(docs: DataFrame, path: str, names: list[str], slots: int | None = None) -> None:
-    """Write ``docs`` as Parquet, a folder for each shard; no shuffle, each task adds files to all."""
-    place(docs, names, slots).drop("slot").write.partitionBy("shard").parquet(path)
+def write_sharded(docs: DataFrame, path: str, names: list[str], slots: int | None = None, files: int = 1) -> None:
+    """Write ``docs`` as Parquet, a folder for each shard with about ``files`` files.
+
+    One shuffle brings a shard's rows together, split by a hash of the document into ``files`` parts, so that the number of files
+    doesn't follow that of tasks.
+    """
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(files))
+    placed = place(docs, names, slots).drop("slot")
+    placed.repartition(len(names) * files, "shard", part).write.partitionBy("shard").parquet(path)
 
 
 NAMES = [f"shard-{k:03d}" for k in range(SHARDS)]

@@ -1,30 +1,34 @@
 """Op 4: exact top-k inner products by exhaustive term-at-a-time accumulation.
 
-Queries come in blocks of a fixed number, so that what is broadcast is bounded whatever the
-number of queries.  A task turns each batch of its candidate rows into postings (for each term
+Candidates are read once; queries come in blocks of ``QUERY_BLOCK``, and a task streams a chunk of the candidates past a block
+(``operators.blocks``), so that neither queries nor candidates are collected or broadcast, whatever their number.  A task turns
+each batch of its candidates into postings (for each term
 the candidates that hold it, and their weights); for each term of the sparse query rows the
 weighted postings are scattered into dense score arrays.  A partition selection keeps the k
 best of a batch, merged with the best so far of the task; a window merges the tasks' k rows.
-No candidate is skipped, capped or shuffled.
+No candidate is skipped or capped.
 
 Defined results: vectors that are null, or hold a null or a component that isn't finite, take no
 part, nor do rows with a null id; components that a shorter vector lacks are 0; rows that share
 an id are never each other's candidates, and of those the smallest vector is the query; ties go
-to the smaller id (then repeat, if the candidates' table repeats it); an empty table gives no rows.
+to the smaller id (then repeat, if the candidates' table repeats it); other columns are not read, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cuewright.operators import blocks
+
 from . import common
 
 K = 5
-QUERY_BLOCK = 2048  # queries that are broadcast together
-CELLS = 2_000_000  # scores of a dense array at a time
+QUERY_BLOCK = 4096  # queries that a task holds
+CELLS = 4_000_000  # scores of a dense array at a time
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -36,13 +40,6 @@ def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(True))).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
 
 
-def _dense(rows, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), dtype=np.int64)
-    for i, x in enumerate(rows):
-        out[i, : len(x)] = x
-    return out
-
-
 class Postings:
     """The inverted form of a batch of rows."""
 
@@ -70,61 +67,43 @@ class Postings:
         return out
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores of a row, ties to smaller ids; a selection, then a sort of k and ties."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        above = np.flatnonzero(scores > floor)
-        ties = np.flatnonzero(scores == floor)
-        need = k - len(above)
-        if len(ties) > need:
-            ties = ties[np.argpartition(ids[ties], need - 1)[:need]] if need else ties[:0]
-        places = np.concatenate([above, ties])
-    else:
-        places = np.arange(len(scores))
-    return places[np.lexsort((ids[places], -scores[places].astype(np.int64)))]
-
-
-def _search(candidates: DataFrame, queries: list, k: int) -> DataFrame:
-    width = max(1, *(len(x) for _, x in queries))
-    shared = candidates.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries], dtype=np.int64), _dense([x for _, x in queries], width)))
-
-    def partial(batches):
-        names, wanted = shared.value
-        kept: list = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] * len(names)
-        for frame in batches:
-            ids = frame["vec_id"].to_numpy(dtype=np.int64)
-            rows = _dense([np.asarray(x)[:width] for x in frame["v"]], width)  # terms that no query of the block has add nothing
-            for a in range(0, len(ids), 8192):
-                some, post = ids[a : a + 8192], Postings(rows[a : a + 8192])
-                step = max(1, CELLS // len(some))
-                for b in range(0, len(names), step):
-                    for i, scores in enumerate(post.scores(wanted[b : b + step]), b):
-                        own = np.flatnonzero(some == names[i])
-                        part, part_ids = (np.delete(scores, own), np.delete(some, own)) if len(own) else (scores, some)
-                        at = best(part, part_ids, k)
-                        s, v = np.concatenate([kept[i][0], part[at].astype(np.int64)]), np.concatenate([kept[i][1], part_ids[at]])
-                        at = best(s, v, k)
-                        kept[i] = (s[at], v[at])
-        sizes = [len(s) for s, _ in kept]
-        if sum(sizes):
-            yield pd.DataFrame({"query_id": np.repeat(names, sizes), "vec_id": np.concatenate([v for _, v in kept]), "score": np.concatenate([s for s, _ in kept])})
-
-    return candidates.mapInPandas(partial, HITS)
+class _Search:
+    """A block of queries (vec_id, v) and its best candidates so far."""
+
+    def __init__(self, k: int):
+        self.k, self.ids, self.vectors, self.best = k, [], [], None
+
+    def add_queries(self, queries: pa.StructArray) -> None:
+        self.ids.append(queries.field("vec_id").to_numpy(zero_copy_only=False))
+        self.vectors.append(queries.field("v"))
+
+    def add_rows(self, rows: pa.StructArray) -> None:
+        if self.best is None:
+            if not self.ids:
+                return
+            self.names = np.concatenate(self.ids)
+            self.wanted = blocks.matrix(pa.concat_arrays(self.vectors), kind=np.int64)
+            step = max(1, CELLS // 8192)
+            self.best = [(slice(a, a + step), blocks.Best(len(self.names[a : a + step]), self.k)) for a in range(0, len(self.names), step)]
+        ids = rows.field("vec_id").to_numpy(zero_copy_only=False)
+        whole = blocks.matrix(rows.field("v"), self.wanted.shape[1], np.int64)  # terms that no query of the block has add nothing
+        for a in range(0, len(ids), 8192):
+            some, post = ids[a : a + 8192], Postings(whole[a : a + 8192])
+            for part, best in self.best:
+                best.add(post.scores(self.wanted[part]), some, self.names[part][:, None] != some)
+
+    def result(self) -> pa.RecordBatch | None:
+        found = [(self.names[part], x) for part, best in self.best or () if (x := best.result()) is not None]
+        if not found:
+            return None
+        columns = [np.concatenate(x) for x in zip(*((names[x[0]], x[2], x[1]) for names, x in found))]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "vec_id", "score"])
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for quantised ``queries`` against quantised ``candidates``."""
-    spark = queries.sparkSession
     queries = common.stored(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
-    blocks = max(1, -(-queries.count() // block))
-    hits = None
-    for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect() if blocks > 1 else queries.collect()
-        if part:
-            found = _search(candidates, [(x["vec_id"], x["v"]) for x in part], k)
-            hits = found if hits is None else hits.union(found)
-    hits = spark.createDataFrame([], HITS) if hits is None else hits
+    hits = blocks.searched(queries, candidates.select("vec_id", "v"), "vec_id", ["vec_id", "v"], lambda: _Search(k), HITS, block)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,30 +1,36 @@
 """Op 5: toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models over the characters of words, one of toxic and one of ordinary
-texts.  The highest order (``ORDER`` characters) has counts of its class alone; all lower
-orders are the continuation counts of both classes together, so that what is rare in a class
-is smoothed by what the classes share.  The shared part cancels out of the ratio of the two models
-wherever neither has the n-gram, so a model is a table of log ratios of n-grams and contexts.
+Two Kneser-Ney models over words, one of toxic and one of ordinary texts.  As in Kneser-Ney's lower orders, a word counts once
+for each context that holds it, not once for each occurrence; the context of a word is its text, so that one text that repeats
+a word can't decide what the word means.  A class's counts are discounted, and the mass that this frees goes to the counts of
+both classes together::
 
-A word's score is the log of its toxic over its ordinary likelihood.  A text's are sums of its
-words' scores over its length: over the whole text, over its densest window of ``WINDOW`` words, and
-of its strongest words.  A logistic fit on rows scored by a model that has not seen them (two folds)
-turns these into a probability.
+    P(word | class) = max(n(class, word) - D(class), 0) / n(class) + BACKOFF * P(word)
+    P(word) = n(word) / (n + number of words)          what is left over is for words that neither class holds
+
+Both classes give the same mass to the shared counts, which sets each one's discount D.  So a rare expression has what the
+classes share: its ratio is exactly 1 unless one class holds it oftener than its discount, and a model is the short table of
+words of which that holds.
+
+A text is measured at ``SCALES``: the log of toxic over ordinary likelihood, divided by length, of its most toxic expression (one
+word), of its most toxic passage (five words; a shorter text is divided by five too) and of the whole text.  A few insults are lost in the mean of a
+long text, and many mild words don't make one expression.  A logistic curve, fitted on rows scored by a model that has not seen them
+(two halves), turns the three ratios into a probability.
 
 The models are fitted on a bounded sample of labelled rows (``TRAIN_DOCS`` of each class, whole texts);
 every text is scored whole.
 
-Defined results: a null or empty text scores as a text whose likelihoods are equal; rows without a
-doc_id are not learned from; without rows of both classes every score is the toxic share, or 0 with no
-labels at all; a doc_id labelled twice with unlike labels is not learned from; rows may repeat; an
-empty table gives no rows.
+Defined results: a null or empty text has ratios of 0; rows without a doc_id are not learned from; without rows of both classes
+every score is the toxic share, or 0 with no labels at all; a doc_id labelled twice with unlike labels is not learned from; rows
+may repeat, and get equal scores; other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,108 +40,42 @@ from pyspark.sql import functions as F
 from . import common
 
 TRAIN_DOCS = 3_000
-ORDER = 6
-DISCOUNT = 0.75
-WINDOW = 40
-MEMO = 150_000
+BACKOFF = 0.5
+SCALES = (1, 5)  # words of a passage; the whole text comes last
 _WORD = re.compile(r"[^\W_]+")
 
 
-def grams_of(word: str) -> list[str]:
-    """The n-grams of highest order that predict each character of a word and its end."""
-    word = "\x02" * (ORDER - 1) + word + "\x03"
-    return [word[i : i + ORDER] for i in range(len(word) - ORDER + 1)]
-
-
-class Shared:
-    """Interpolated Kneser-Ney over the continuation counts of all n-grams, of lower orders."""
-
-    def __init__(self, grams):
-        self.levels = []
-        level = set(grams)
-        for n in range(ORDER - 1, 0, -1):
-            counts = Counter(g[1:] for g in level)  # distinct characters before it
-            total, kinds = Counter(), Counter()
-            for g, c in counts.items():
-                total[g[:-1]] += c
-                kinds[g[:-1]] += 1
-            self.levels.append((counts, total, kinds))
-            level = set(counts)
-        self.letters = max(1, len(level)) + 1
-        self.memo: dict[str, float] = {}
-
-    def p(self, gram: str, depth: int = 0) -> float:
-        """Probability of the last character of ``gram`` after those before it."""
-        if depth == len(self.levels):
-            return 1.0 / self.letters
-        if (known := self.memo.get(gram)) is None:
-            counts, total, kinds = self.levels[depth]
-            n = total.get(gram[:-1], 0)
-            known = self.p(gram[1:], depth + 1)
-            if n:
-                known = (max(counts.get(gram, 0) - DISCOUNT, 0) + DISCOUNT * kinds[gram[:-1]] * known) / n
-            self.memo[gram] = known
-        return known
-
-
-class Ratio:
-    """log P(word | toxic) - log P(word | ordinary)."""
-
-    def __init__(self, toxic: dict[str, int], ordinary: dict[str, int]):
-        shared = Shared(toxic.keys() | ordinary.keys())
-        sides = []
-        for counts in (toxic, ordinary):
-            total, kinds = defaultdict(int), defaultdict(int)
-            for g, c in counts.items():
-                total[g[:-1]] += c
-                kinds[g[:-1]] += 1
-            sides.append((counts, {x: (n, DISCOUNT * kinds[x] / n) for x, n in total.items()}))
-        (tc, tn), (oc, on) = sides
-        self.context = {x: math.log(tn.get(x, (0, 1.0))[1]) - math.log(on.get(x, (0, 1.0))[1]) for x in tn.keys() | on.keys()}
-        self.gram = {}
-        for g in toxic.keys() | ordinary.keys():
-            low, logs = shared.p(g[1:]), []
-            for counts, totals in ((tc, tn), (oc, on)):
-                n, back = totals.get(g[:-1], (0, 1.0))
-                logs.append(math.log((max(counts.get(g, 0) - DISCOUNT, 0) / n if n else 0.0) + back * low))
-            self.gram[g] = logs[0] - logs[1]
-        self.memo: dict[str, float] = {}
-
-    def word(self, word: str) -> float:
-        if (known := self.memo.get(word)) is None:
-            gram, context = self.gram, self.context
-            known = 0.0
-            for g in grams_of(word):
-                x = gram.get(g)
-                known += context.get(g[:-1], 0.0) if x is None else x
-            if len(self.memo) < MEMO:
-                self.memo[word] = known
-        return known
-
-
-FEATURES = 5
-
-
-def features(ratio: Ratio, text: str | None) -> list[float]:
-    words = _WORD.findall(text.lower()) if text else []
-    if not words:
-        return [0.0] * FEATURES
-    # one word can't decide alone, and one that recurs counts once towards the strong ones
-    x = np.clip(np.fromiter(map(ratio.word, words), dtype=np.float64, count=len(words)), -3.0, 8.0)
-    first = np.zeros(len(x), dtype=bool)
-    first[list({w: i for i, w in zip(range(len(words) - 1, -1, -1), reversed(words))}.values())] = True
-    x = np.where(first, x, np.minimum(x, 0.0))
-    ends = np.concatenate([[0.0], np.cumsum(x)])
-    size = min(WINDOW, len(x))
-    own = np.sort(np.clip(np.fromiter(map(ratio.word, set(words)), dtype=np.float64), 0.0, 8.0))
-    strong = float(np.maximum(own - 2.0, 0.0).sum())
-    return [
-        float(x.mean()),
-        float((ends[size:] - ends[:-size]).max()) / WINDOW,
-        10 * strong / (len(own) + 20),
-        float(own[-3:].sum()) / 3,
-        math.log1p(strong),
-    ]
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
+
+
+def discount(counts: dict[int, int], mass: float = BACKOFF) -> float:
+    """The D with sum(min(D, n)) = mass * sum(n) over words; ``counts`` tells how many words have a count n (0 apart)."""
+    counts = {n: k for n, k in counts.items() if n > 0}
+    wanted, below, words = mass * sum(n * k for n, k in counts.items()), 0, sum(counts.values())
+    for n in sorted(counts):  # up to n the sum grows with D by the number of words that have n or more
+        if below + n * words >= wanted:
+            return (wanted - below) / words
+        below, words = below + n * counts[n], words - counts[n]
+    return 0.0
+
+
+def log_likelihood(n: int, shared: float, total: int, d: float, mass: float = BACKOFF) -> float:
+    """log P(word | class) of a word with count ``n`` in a class of ``total``, discounted by ``d``."""
+    return math.log(max(n - d, 0) / total + mass * shared)
+
+
+def measures(ratio: dict[str, float], text: str | None) -> tuple[float, ...]:
+    """Length-normalised log ratios: of the most toxic passage of each scale, then of the whole text."""
+    words = words_of(text)
+    x = np.fromiter(map(ratio.get, words, repeat(0.0)), dtype=np.float64, count=len(words))
+    if not x.any():
+        return (0.0,) * (len(SCALES) + 1)
+    ends, out = np.concatenate([[0.0], np.cumsum(x)]), []
+    for scale in SCALES:
+        size = min(scale, len(x))
+        out.append(float((ends[size:] - ends[:-size]).max()) / scale)
+    return *out, float(ends[-1]) / len(x)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -152,19 +92,43 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
 
 
 class Model:
-    """A ratio and the logistic weights; without a ratio, a constant."""
+    """Log ratios of words, and the logistic weights; without ratios, a constant."""
 
-    def __init__(self, ratio: Ratio | None, weights, constant: float):
+    def __init__(self, ratio: dict[str, float] | None, weights, constant: float = 0.0):
         self.ratio, self.weights, self.constant = ratio, weights, constant
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | None) -> tuple[float, ...]:
+        """Probability, then the ratios."""
         if self.ratio is None:
-            return self.constant
-        z = float(np.dot(features(self.ratio, text), self.weights[:-1]) + self.weights[-1])
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+            return (self.constant, *(0.0,) * (len(SCALES) + 1))
+        found = measures(self.ratio, text)
+        z = float(np.dot(found, self.weights[:-1]) + self.weights[-1])
+        return (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), *found)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+def log_ratios(counted: DataFrame, halves: tuple[int, ...], mass: float = BACKOFF) -> dict[str, float]:
+    """log P(word | toxic) - log P(word | ordinary), where it isn't 0.  ``counted``: (word, n0 to n3), ordinary then toxic, by half.
+
+    What comes to the driver is bounded by the sample: how often each count occurs, and the words above a discount.
+    """
+    n = [sum((F.col(f"n{2 * y + h}") for h in halves), F.lit(0)).alias(name) for y, name in ((0, "ordinary"), (1, "toxic"))]
+    table = counted.select("word", *n).filter("ordinary + toxic > 0")
+    size, words = table.agg(F.sum(F.col("ordinary") + F.col("toxic")), F.count(F.lit(1))).first()
+    if not words:
+        return {}
+    sides = {}
+    for side in ("ordinary", "toxic"):
+        counts = {r[0]: r[1] for r in table.groupBy(side).count().collect()}
+        sides[side] = sum(k * c for k, c in counts.items()), discount(counts, mass)
+    (no, do), (nt, dt) = sides["ordinary"], sides["toxic"]
+    if not no or not nt:
+        return {}
+    above = table.filter((F.col("ordinary") > do) | (F.col("toxic") > dt)).collect()
+    shared = lambda r: (r["ordinary"] + r["toxic"]) / (size + words)
+    return {r["word"]: log_likelihood(r["toxic"], shared(r), nt, dt, mass) - log_likelihood(r["ordinary"], shared(r), no, do, mass) for r in above}
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, mass: float = BACKOFF) -> Model:
     """The model of labelled rows: ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1)."""
     marks = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y1")).filter("y = y1").select("doc_id", "y")
     chosen = None
@@ -179,58 +143,48 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Mod
         return Model(None, None, 1.0 if sizes.get(1) else 0.0)
 
     def count(batches):
-        found = Counter()
         for batch in batches:
-            words = defaultdict(Counter)
+            found = Counter()
             for text, y, half in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "half"))):
-                words[y, half].update(set(_WORD.findall((text or "").lower())))  # documents that hold the word
-            for (y, half), some in words.items():
-                for word, n in some.items():
-                    for g in grams_of(word):
-                        found[g, y, half] += n
-        keys = list(found)
-        for a in range(0, len(keys), 50_000):
-            part = keys[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part]), pa.array([2 * k[1] + k[2] for k in part], pa.int32()), pa.array([found[k] for k in part], pa.int64())], ["gram", "j", "n"])
-        del found, keys
+                for word in set(words_of(text)):
+                    found[word, 2 * y + half] += 1
+            keys = list(found)
+            for a in range(0, len(keys), 50_000):
+                part = keys[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.string()), pa.array([j for _, j in part], pa.int32()), pa.array([found[k] for k in part], pa.int64())], ["word", "j", "n"])
         common.tidy()
 
-    counted = rows.mapInArrow(count, "gram string, j int, n long").groupBy("gram").agg(*(F.sum(F.when(F.col("j") == j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in range(4)))
-    # bounded by the sample; n-grams of one occurrence only matter to the shared counts
-    table = counted.toArrow()
-    grams, n = table.column("gram").to_pylist(), np.stack([table.column(f"n{j}").to_numpy() for j in range(4)], axis=1)
-
-    def ratio(use) -> Ratio:
-        ordinary, toxic = n[:, [h for h in use]].sum(axis=1), n[:, [2 + h for h in use]].sum(axis=1)
-        return Ratio({g: int(c) for g, c in zip(grams, toxic) if c}, {g: int(c) for g, c in zip(grams, ordinary) if c})
-
+    counted = rows.mapInArrow(count, "word string, j int, n long").groupBy("word").agg(*(F.sum(F.when(F.col("j") == j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in range(4)))
+    counted = common.stored(counted, "toxic-words")
     spark = docs.sparkSession
-    pair = spark.sparkContext.broadcast([ratio([1]), ratio([0])])  # for rows of half 0, the model of half 1
+    pair = spark.sparkContext.broadcast([log_ratios(counted, (1,), mass), log_ratios(counted, (0,), mass)])  # for rows of half 0, the model of half 1
 
     def seen_by_other(batches):
         for batch in batches:
-            texts, half = batch.column("text").to_pylist(), batch.column("half").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([features(pair.value[h], t) for t, h in zip(texts, half)], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
-        common.tidy()
+            texts, half = batch.column("text"), batch.column("half").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([measures(pair.value[h], t.as_py()) for t, h in zip(texts, half)], pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    scored = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text", "half").mapInArrow(seen_by_other, "doc_id long, y int, x array<double>").orderBy("doc_id").collect()
+    scored = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text", "half").mapInArrow(seen_by_other, "doc_id long, y int, x array<double>").orderBy("doc_id", "x").collect()
     weights = logistic(np.array([r["x"] for r in scored]), np.array([r["y"] for r in scored], dtype=np.float64))
-    return Model(ratio([0, 1]), weights, 0.0)
+    return Model(log_ratios(counted, (0, 1), mass), weights)
+
+
+SCORED = "doc_id long, held_out boolean, score double, predicted int, word_ratio double, passage_ratio double, text_ratio double"
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each whole text of ``docs``."""
+    """``SCORED`` for each whole text of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
         use = shared.value
         for batch in batches:
-            got = np.array([use.score(x.as_py()) for x in batch.column("text")], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-        common.tidy()
+            got = np.array([use.score(x.as_py()) for x in batch.column("text")], dtype=np.float64).reshape(-1, len(SCALES) + 2)
+            p = got[:, 0]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *map(pa.array, got[:, 1:].T)], ["doc_id", "held_out", "score", "predicted", "word_ratio", "passage_ratio", "text_ratio"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (common.fold() == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(scored, SCORED)
 
 
 def ordinary_only(docs: DataFrame, model: Model) -> DataFrame:
@@ -240,8 +194,7 @@ def ordinary_only(docs: DataFrame, model: Model) -> DataFrame:
     def kept(batches):
         use = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([use.score(x.as_py()) < 0.5 for x in batch.column("text")], pa.bool_()))
-        use.ratio and use.ratio.memo.clear()
+            yield batch.filter(pa.array([use.score(x.as_py())[0] < 0.5 for x in batch.column("text")], pa.bool_()))
         common.tidy()
 
     return docs.mapInArrow(kept, docs.schema)

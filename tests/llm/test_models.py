@@ -1,8 +1,11 @@
 """Language, toxicity, near-duplicates, MPEG columns, the pipeline."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -28,12 +31,46 @@ def test_language_backoff():
             for g in language.grams_of(word, n):
                 grams.setdefault(g, [0, 0])[j] += 5
     m = language.Model(["de", "en"], {k: v[::-1] for k, v in words.items()}, {k: v[::-1] for k, v in grams.items()})
-    assert m.predict("the")[0] == "en" and m.predict("der")[0] == "de"
-    assert m.predict("things")[0] == "en" and m.predict("schei")[0] == "de"
-    for nothing in (None, "", "123 !?", "½ ²"):
-        assert m.predict(nothing) == ("und", 0.0)
-    assert m.predict("Ω")[0] == "de"  # a letter that nothing is known of: the first language
-    assert language.Model([], {}, {}).predict("word") == ("und", 0.0)
+    got = [x for x, _ in m.predict(["the", "der", "things", "schei"])]
+    assert got == ["en", "de", "en", "de"]
+    assert m.predict([None, "", "123 !?", "½ ²"]) == [("und", 0.0)] * 4
+    assert m.predict(["Ω"])[0][0] == "de"  # a letter that nothing is known of: the first language
+    assert language.Model([], {}, {}).predict(["word", None]) == [("und", 0.0)] * 2 and m.predict([]) == []
+
+
+def brute_language(train, text):
+    """Word-first backoff by plain loops over the training rows."""
+    langs = sorted({lang for _, lang in train})
+    split = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    seen = {lang: [w for t, x in train if x == lang for w in split(t)] for lang in langs}
+    cut = lambda w, n: [w] if n == 0 else list(w) if n == 1 else [("\x02" + w + "\x03")[i : i + n] for i in range(len(w) + 3 - n)]
+    tables = {n: {lang: Counter(g for w in seen[lang] for g in cut(w, n)) for lang in langs} for n in range(6)}
+    kinds = {n: len(set().union(*tables[n].values())) for n in range(6)}
+
+    def score(word):
+        for n in (0, 5, 4, 3, 2, 1):
+            known = [g for g in cut(word, n) if any(tables[n][x][g] for x in langs)]
+            if known:
+                return [sum(math.log(tables[n][x][g] + 0.5) - math.log(sum(tables[n][x].values()) + 0.5 * (kinds[n] + 1)) for g in known) / len(known) for x in langs]
+
+    scores = [x for w in split(text or "") if (x := score(w))]
+    if not scores:
+        return "und" if not any(map(str.isalpha, text or "")) else langs[0]
+    mean = [sum(x) / len(scores) for x in zip(*scores)]
+    return langs[mean.index(max(mean))]
+
+
+def test_language_brute(spark):
+    """Every row as plain loops say, over a toy corpus with words unseen and seen once."""
+    rng = random.Random(1)
+    letters = {"aa": "abcde", "bb": "bcdef", "cc": "cdefgé"}
+    word = lambda lang: "".join(rng.choices(letters[lang], k=rng.randint(1, 7)))
+    train = [(" ".join(word(lang) for _ in range(rng.randint(1, 12))), lang) for lang in letters for _ in range(12)]
+    tests = [" ".join(word(rng.choice(list(letters))) for _ in range(rng.randint(0, 5))) for _ in range(80)] + [None, "", "...", "Ω", "zzz a", train[0][0].upper()]
+    model = language.fit(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(train)], "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, model).collect()}
+    assert [got[i] for i in range(len(tests))] == [brute_language(train, t) for t in tests]
 
 
 def test_language_odd_tables(spark, docs):
@@ -45,16 +82,16 @@ def test_language_odd_tables(spark, docs):
 
 
 def test_language_of_few_rows_is_learned(spark):
-    """In a lopsided table a small language keeps its rows in the sample, and its words and n-grams in the cut."""
+    """In a lopsided table a small language keeps its rows in the sample, and all its words are known."""
     rng = random.Random(3)
     large = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
     small = ["".join(rng.choices("opqrstuv", k=5)) for _ in range(12)]
     rows = [(i, " ".join(rng.choices(large, k=60)), "aa") for i in range(2000)] + [(2000 + i, " ".join(rng.choices(small, k=12)), "zz") for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language.fit(df, train_docs=150, words=40, grams=200)
-    assert model.langs == ["aa", "zz"] and len(model.words) == 40 and len(model.grams) == 200
-    assert set(small) <= set(model.words)
-    assert model.predict(" ".join(small))[0] == "zz" and model.predict(" ".join(large))[0] == "aa"
+    model = language.fit(df, train_docs=150)
+    assert model.langs == ["aa", "zz"]
+    assert {w for _, t, x in rows if x == "zz" for w in t.split()} <= set(model.words) and model.scores.shape == (len(model.words) + len(model.grams), 2)
+    assert [x for x, _ in model.predict([" ".join(small), " ".join(large)])] == ["zz", "aa"]
     taken = {r["lang"]: r["count"] for r in language.sampled(df, 150).groupBy("lang").count().collect()}
     assert taken["zz"] == 12 and 100 < taken["aa"] < 180
 
@@ -109,16 +146,43 @@ def test_toxicity_odd_tables(spark, docs):
     assert toxicity.score(df.limit(0), toxicity.fit(df.limit(0), none)).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    grams = {}
-    for word in ["abba", "abab", "bab", "cab"]:
-        for g in toxicity.grams_of(word):
-            grams[g] = grams.get(g, 0) + 1
-    shared = toxicity.Shared(grams)
-    letters = {g[-1] for g in grams}
-    for context in ["\x02" * 4, "\x02\x02\x02a", "xxxx"]:
-        total = sum(shared.p(context + c) for c in letters)
-        assert total == pytest.approx(1.0, abs=1 / shared.letters + 1e-9) and total <= 1 + 1e-9
+def brute_likelihoods(rows, mass=toxicity.BACKOFF):
+    """{word: (P ordinary, P toxic)}, and the probability left to words that neither class holds, by the formulas alone."""
+    n = [Counter(w for t, y in rows if y == k for w in set(t.split())) for k in (0, 1)]
+    both = n[0] + n[1]
+    shared = {w: c / (sum(both.values()) + len(both)) for w, c in both.items()}
+    out = []
+    for k in (0, 1):
+        low, high = 0.0, float(max(n[k].values()))
+        for _ in range(200):  # the discount that frees the wanted mass
+            d = (low + high) / 2
+            low, high = (d, high) if sum(min(d, c) for c in n[k].values()) < mass * sum(n[k].values()) else (low, d)
+        out.append({w: max(n[k][w] - d, 0) / sum(n[k].values()) + mass * shared[w] for w in both})
+    return {w: (out[0][w], out[1][w]) for w in both}, mass * (1 - sum(shared.values()))
+
+
+def test_kneser_ney_brute(spark):
+    """Both likelihoods sum to one, and their log ratios are those of the fitted table, on a small alphabet."""
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choices("abcdefghij"[: 10 - 3 * y], k=rng.randint(1, 6))) + (" zz" if y else ""), y) for y in (0, 1) for _ in range(30)]
+    p, unknown = brute_likelihoods(rows)
+    for k in (0, 1):
+        assert sum(x[k] for x in p.values()) + unknown == pytest.approx(1.0)
+    counts = Counter((w, 2 * y) for t, y in rows for w in set(t.split()))
+    table = spark.createDataFrame([(w, *(counts[w, j] for j in range(4))) for w in p], "word string, n0 long, n1 long, n2 long, n3 long")
+    got = toxicity.log_ratios(table, (0, 1))
+    assert got["zz"] > 0
+    for w, (o, t) in p.items():
+        assert got.get(w, 0.0) == pytest.approx(math.log(t / o), abs=1e-9)
+    text = " ".join(rng.choices([*p, "unseen"], k=40))
+    x = [math.log(p[w][1] / p[w][0]) if w in p else 0.0 for w in text.split()]
+    assert toxicity.measures(got, text) == pytest.approx((max(x), max(sum(x[i : i + 5]) / 5 for i in range(36)), sum(x) / 40), abs=1e-9)
+    assert toxicity.measures(got, "zz")[1] == pytest.approx(got["zz"] / 5) and toxicity.measures(got, "") == toxicity.measures(got, None) == (0.0, 0.0, 0.0)
+
+
+def test_discount():
+    assert toxicity.discount({}) == 0.0 and toxicity.discount({0: 9, 2: 1}, 0.5) == 1.0
+    assert toxicity.discount({1: 4, 4: 1}, 0.5) == pytest.approx(0.8) and toxicity.discount({1: 4, 4: 1}, 0.75) == pytest.approx(2.0)
 
 
 def brute_classes(texts, threshold=near_dedup.THRESHOLD):
@@ -172,10 +236,39 @@ def test_near_dedup_odd_rows(docs):
     assert left.columns == df.columns
     assert sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 1, 2, 3, 5, 7, 9, 10]
     twice = docs((1, long), (1, long), (1, "quite another text"))
-    assert near_dedup.one_of_each(twice).count() == 1
+    assert near_dedup.one_of_each(twice).count() == 2  # an unlike text stays, whatever its id
     assert near_dedup.classes(df.limit(0)).count() == 0 and near_dedup.one_of_each(df.limit(0)).count() == 0
 
 
+def test_near_dedup_of_ids_that_unlike_texts_share(docs):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    df = docs((1, a), (1, b), (2, a), (3, b), (4, "x y z"))
+    got = sorted((r["doc_id"], r["class_id"]) for r in near_dedup.classes(df).collect())
+    assert got == [(1, 2), (1, 3), (2, 2), (3, 3), (4, 4)]
+    left = near_dedup.one_of_each(df)
+    assert left.columns == df.columns and sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(2, a), (3, b), (4, "x y z")]
+    assert all(r["h1"] == r["size"] == r["class_id"] for r in left.collect())
+
+
+def test_near_dedup_by_spread_joins(docs, monkeypatch):
+    """The way of large tables: nothing is sent whole, hot nodes are split, buckets are cut in blocks."""
+    monkeypatch.setattr(common, "is_small", lambda df, rows=0: False)
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 2)
+    texts = corpus(7, 30)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs(*enumerate(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_number_of_darts():
+    """About k ln k (1,419), or half the elements; not the weight of single elements."""
+    rng = np.random.default_rng(2)
+    k = near_dedup.COORDINATES
+    for n, weight in ((1, 1), (1, 2_000_000), (300, 1), (2000, 1), (20_000, 1), (50, 5000)):
+        thrown = []
+        near_dedup.signature(rng.integers(0, 2**63, n).astype(np.uint64), np.full(n, weight), thrown=thrown)
+        assert thrown[0] < 4 * k * np.log(k) + 0.6 * n * min(weight, near_dedup.UNITS)
+
+
 def test_signature_estimates_weighted_similarity():
     rng = np.random.default_rng(0)
     for kind in (np.int64, np.float64):
@@ -186,6 +279,9 @@ def test_signature_estimates_weighted_similarity():
         true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
         near = np.mean(near_dedup.signature(e, a, 2048) == near_dedup.signature(e, b, 2048))
         assert near == pytest.approx(true, abs=0.05)
+        a, b = a * np.where(e % 7 == 0, 50, 1).astype(kind), b * np.where(e % 5 == 0, 30, 1).astype(kind)  # heavy ones, in layers of their own
+        true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        assert np.mean(near_dedup.signature(e, a, 2048) == near_dedup.signature(e, b, 2048)) == pytest.approx(true, abs=0.05)
     for n in (1, 3, 20_000):
         assert len(np.unique(near_dedup.signature(rng.integers(0, 2**63, n).astype(np.uint64), np.ones(n, dtype=np.int64)))) > 1
 
@@ -303,6 +399,27 @@ def test_mpeg_checksums_of_all_layers(version, layer, bits, rate, mode, extensio
         assert (found["frames"], found["crc_ok"], found["crc_bad"]) == (3, 3 - n, n)
 
 
+def test_mpeg_bytes_by_hand():
+    """A stream put together by hand: two frames of silence with known bytes, and what a table of them should say."""
+    head = bytes([0xFF, 0xF3, 0x94, 0xC0])  # MPEG-2, layer III, no checksum, 80 kbit/s, 24 kHz, mono
+    size = 72 * 80_000 // 24_000
+    one = head + bytes(size - 4)
+    found = mpeg.parse(one * 3)
+    assert (found["offsets"], found["rate"], found["samples"], found["duration"]) == ([0, size, 2 * size], 24_000, 3 * 576, [9, 125])
+    table = bytearray(one)
+    table[13:17], table[17:21] = b"Info", (7).to_bytes(4, "big")
+    table[21:25], table[25:29] = (2).to_bytes(4, "big"), (3 * size).to_bytes(4, "big")
+    table[29:129] = bytes(min(255, 256 * (1 + k * 2 // 100) // 3) for k in range(100))
+    found = mpeg.parse(bytes(table) + one * 2)
+    assert found["frames"] == 2 and found["table_check"] == {"frames_ok": True, "bytes_ok": True, "toc_miss": 2}
+    assert [mpeg.seek(found, x) for x in (0, 0.49, 0.5, 1)] == [size, size, 2 * size, 2 * size]
+    table[24] = 9
+    table[29:129] = bytes(100)
+    wrong = mpeg.parse(bytes(table) + one * 2)["table_check"]
+    assert wrong == {"frames_ok": False, "bytes_ok": True, "toc_miss": 2 * size}
+    assert mpeg.parse(bytes([0xFF, 0xF3, 0x04, 0xC0]) * 300)["frames"] == 0  # free format is not followed
+
+
 def test_crc16():
     assert mpeg.crc16(b"123456789", 0) == 0xFEE8  # CRC-16/UMTS
 
