@@ -25,12 +25,12 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     (where it is a column) is that of the text that stays.
     """
     kept = line_dedup.drop_common_lines(docs)
-    text = F.when(F.size("_kept") < F.size("_lines"), F.array_join("_kept", "\n")).otherwise(F.col("text"))
-    out = kept.withColumn("text", text)
+    loses = F.size("kept") < F.size("lines")
+    new = {"text": F.when(loses, F.array_join("kept", "\n")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("_kept") < F.size("_lines"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(loses, F.char_length(new["text"]).cast(kind)).otherwise(F.col("row.n_chars"))
+    return kept.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
