@@ -69,7 +69,7 @@ def text_weight(asked: float, has_text: bool) -> float:
 
 def scene_prompt(categories: list[str] | None = None) -> str:
     """Asks for the two lines that ``functions.text.parse_reply`` reads."""
-    names = ", ".join(categories or rules.VOCABULARY)
+    names = ", ".join(categories or rules.PROMPT_CATEGORIES)
     return f"Say what this picture would sound like, in exactly two lines.\nCATEGORY: one of {names}\nDESCRIPTION: the audible sounds only, in ten to fifteen plain words"
 
 

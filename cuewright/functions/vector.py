@@ -32,3 +32,11 @@ def normalised(v: Column) -> Column:
 
 def rounded(x: Column, digits: int = DIGITS) -> Column:
     return F.round(x, digits)
+
+
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson correlation of two arrays of one length; 0.0 where either is flat or empty."""
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e)
+    centred = lambda v: F.transform(doubles(v), lambda e: e - F.try_divide(add(doubles(v)), F.size(v)))
+    a, b = centred(x), centred(y)
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))

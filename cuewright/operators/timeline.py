@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,29 +16,50 @@ from cuewright.functions import vector as vx
 SCENE = "struct<start_ms:long,end_ms:long,start_frame:long,end_frame:long,duration:double,is_blank:boolean>"
 
 
-def _fold(scenes: DataFrame, joins) -> DataFrame:
+def _in_order(df: DataFrame, order: list[str], step: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
+    """``step`` over the rows of each partition, which holds whole videos in order: one pass, whose state is what ``step`` keeps.
+
+    For folds, whose next row depends on what became of the rows before.  Rows stream, so a long video is never held as a whole.
+    """
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds, held = to_arrow_schema(schema), []
+        for row in step(row for batch in batches for row in batch.to_pylist()):
+            held.append(row)
+            if len(held) == 10_000:
+                yield pa.RecordBatch.from_pylist(held, kinds)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, kinds)
+
+    return df.repartition("video_id").sortWithinPartitions("video_id", *order).mapInArrow(run, schema)
+
+
+def _fold(scenes: DataFrame, joins: Callable[[dict, dict], bool]) -> DataFrame:
     """Runs of scenes of each ``video_id`` joined while ``joins(current, next)`` holds, renumbered from 1.
 
-    ``scenes``: (video_id, start_ms, end_ms, start_frame, end_frame, is_blank, and any numbers ``joins`` asks for).  The state of the
-    fold is a finished list and the current scene, so it is one aggregate over a video's ordered scenes; the columns other than
+    ``scenes``: (video_id, scene_id, start_ms, end_ms, start_frame, end_frame, is_blank, and any numbers ``joins`` asks for).  The columns other than
     times and frames are those of the first scene of a run.
     """
-    extra = [c for c in scenes.columns if c not in ("video_id", "scene_id")]
-    row = F.struct(*extra)
-    gathered = scenes.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", F.col("scene_id"), row.alias("s")))).alias("all"))
-    gathered = gathered.select("video_id", F.transform("all", lambda x: x["s"]).alias("all"))
-    kind = dict(gathered.dtypes)["all"]
-    empty = F.from_json(F.lit("[]"), kind)
 
-    def step(state: Column, nxt: Column) -> Column:
-        cur = state["cur"]
-        longer = F.struct(*[(nxt[c] if c in ("end_ms", "end_frame") else cur[c]).alias(c) for c in extra])
-        return F.when(joins(cur, nxt), F.struct(state["done"].alias("done"), longer.alias("cur"))).otherwise(F.struct(F.concat(state["done"], F.array(cur)).alias("done"), nxt.alias("cur")))
+    def step(rows: Iterator[dict]) -> Iterator[dict]:
+        run = None
+        for row in rows:
+            if run is not None and row["video_id"] == run["video_id"] and joins(run, row):
+                run |= {c: row[c] for c in ("end_ms", "end_frame") if c in row}
+                continue
+            number = 1
+            if run is not None:
+                yield run
+                number = run["scene_id"] + 1 if row["video_id"] == run["video_id"] else 1
+            run = row | {"scene_id": number}
+        if run is not None:
+            yield run
 
-    start = F.struct(empty.alias("done"), F.get("all", F.lit(0)).alias("cur"))
-    folded = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), start, step, lambda s: F.concat(s["done"], F.array(s["cur"])))
-    out = gathered.select("video_id", F.posexplode(folded).alias("pos", "s"))
-    return out.select("video_id", (F.col("pos") + 1).alias("scene_id"), "s.*")
+    return _in_order(scenes, ["start_ms", "scene_id"], step)
 
 
 def merge_short(scenes: DataFrame, least_ms: int = 500, keep_blank: bool = True, strict: bool = False) -> DataFrame:
@@ -44,10 +68,9 @@ def merge_short(scenes: DataFrame, least_ms: int = 500, keep_blank: bool = True,
     With ``keep_blank`` a blank scene is not run on, but it may be swallowed by a short one before it; ``strict`` keeps that from happening.
     """
 
-    def joins(cur: Column, nxt: Column) -> Column:
-        short = (cur["end_ms"] - cur["start_ms"]) < least_ms
-        free = ~F.coalesce(cur["is_blank"], F.lit(False)) if keep_blank else F.lit(True)
-        return short & free & (~F.coalesce(nxt["is_blank"], F.lit(False)) if strict else F.lit(True))
+    def joins(cur: dict, nxt: dict) -> bool:
+        short = cur["end_ms"] - cur["start_ms"] < least_ms
+        return short and not (keep_blank and cur["is_blank"]) and not (strict and nxt["is_blank"])
 
     return _fold(scenes, joins)
 
@@ -57,8 +80,13 @@ def merge_similar(scenes: DataFrame, feature: str, similar: float = 0.85) -> Dat
 
     The run keeps the feature of its first scene.  ``merge_similar_frames`` compares sampled frames instead.
     """
-    blank = lambda s: F.coalesce(s["is_blank"], F.lit(False))
-    return _fold(scenes, lambda cur, nxt: ~blank(cur) & ~blank(nxt) & (1 - F.abs(cur[feature] - nxt[feature]) >= similar))
+    return _fold(scenes, lambda cur, nxt: not cur["is_blank"] and not nxt["is_blank"] and 1 - abs(cur[feature] - nxt[feature]) >= similar)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """``histogram_similarity`` of two arrays of histograms, as a column."""
+    pairs = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: vx.pearson(x, y))))
+    return F.coalesce(F.try_divide(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x), F.size(pairs)), F.lit(0.0))
 
 
 def histogram_similarity(a: list[list[float]], b: list[list[float]]) -> float:
@@ -147,6 +175,17 @@ def blank_info(stats: DataFrame, keys: list[str] = ["video_id", "scene_id"]) ->
     return stats.select(*keys, F.struct("is_blank", "is_black", "is_white", "is_color", "brightness", "blank_ratio", "samples_checked", metrics.alias("metrics")).alias("blank_info"))
 
 
+def with_blank_info(scenes: DataFrame, info: DataFrame, keys: list[str] = ["video_id", "scene_id"]) -> DataFrame:
+    """``scenes`` with the ``blank_info`` record of their keys; a scene without one has null, which counts as not blank."""
+    return scenes.join(info.select(*keys, "blank_info"), keys, "left")
+
+
+def merge_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(video_id, before, after, merged): how many scenes each video had, has, and has lost to merging."""
+    n = lambda df, name: df.groupBy("video_id").agg(F.count(F.lit(1)).alias(name))
+    return n(before, "before").join(n(after, "after"), "video_id", "left").withColumn("after", F.coalesce("after", F.lit(0))).withColumn("merged", F.col("before") - F.col("after"))
+
+
 def frame_differences(frames: DataFrame, value: str = "value") -> DataFrame:
     """Threshold that each video's frame-to-frame differences recommend; 12 without any."""
     order = Window.partitionBy("video_id").orderBy("frame_no")
@@ -160,7 +199,7 @@ def frame_differences(frames: DataFrame, value: str = "value") -> DataFrame:
 def adaptive_cuts(frames: DataFrame, window: int = 2, ratio: float = 3.0, least: float = 15.0, min_len: int = 15, value: str = "value") -> DataFrame:
     """Cuts (video_id, frame_no): frames whose score is ``least`` or more and ``ratio`` times the mean of ``window`` neighbours on both sides.
 
-    A cut closer than ``min_len`` frames to the one kept before it is left out (in order, so by a fold over a video's candidates).
+    A cut closer than ``min_len`` frames to the one kept before it is left out (in order, in one pass over a video's candidates).
     """
     order = Window.partitionBy("video_id").orderBy("frame_no")
     around = order.rowsBetween(-window, window)
@@ -168,12 +207,15 @@ def adaptive_cuts(frames: DataFrame, window: int = 2, ratio: float = 3.0, least:
     near = (total - F.col(value)) / (n - 1)
     scored = frames.withColumn("_n", n).withColumn("_near", near)
     hit = scored.filter((F.col("_n") == 2 * window + 1) & (F.col(value) >= least) & ((F.col("_near") < 1e-5) | (F.col(value) / F.col("_near") >= ratio)))
-    kept = F.aggregate(
-        F.array_sort(F.collect_list("frame_no")),
-        F.array().cast("array<long>"),
-        lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, F.greatest(F.size(a), F.lit(1)) * 0 - 1) >= min_len), F.concat(a, F.array(x.cast("long")))).otherwise(a),
-    )
-    return hit.groupBy("video_id").agg(kept.alias("cuts")).select("video_id", F.explode("cuts").alias("frame_no"))
+
+    def apart(rows: Iterator[dict]) -> Iterator[dict]:
+        last = None
+        for row in rows:
+            if last is None or row["video_id"] != last["video_id"] or row["frame_no"] - last["frame_no"] >= min_len:
+                last = row
+                yield row
+
+    return _in_order(hit.select("video_id", "frame_no"), ["frame_no"], apart)
 
 
 def threshold_cuts(frames: DataFrame, threshold: float = 27.0, value: str = "value") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cuewright.plans import retrieval_queries, text_queries, timeline_queries
+from cuewright.plans import retrieval_queries, source_queries, text_queries, timeline_queries
 
-QUERIES = {**retrieval_queries.QUERIES, **text_queries.QUERIES, **timeline_queries.QUERIES}
-ORACLE_SQL = {**retrieval_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **timeline_queries.ORACLE_SQL}
+QUERIES = {**retrieval_queries.QUERIES, **text_queries.QUERIES, **timeline_queries.QUERIES, **source_queries.QUERIES}
+ORACLE_SQL = {**retrieval_queries.ORACLE_SQL, **text_queries.ORACLE_SQL, **timeline_queries.ORACLE_SQL, **source_queries.ORACLE_SQL}

@@ -226,15 +226,19 @@ SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.category = f.categor
 
 
 def histogram_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pearson correlation of neighbouring vectors, as of colour histograms."""
-    e = inputs.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vx.doubles(F.col("embedding"))).alias("bin", "x"))
-    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), "bin", F.col("x").alias("y"))
-    return e.join(nxt, ["vec_id", "bin"]).groupBy("vec_id").agg(F.round(F.corr("x", "y"), 6).alias("similarity"))
+    """Similarity of neighbouring groups of three vectors, as of scenes with three colour histograms each."""
+    from cuewright.operators import timeline
+
+    e = inputs.table(spark, sf_dir, "embeddings")
+    scene = e.groupBy(F.floor(F.col("vec_id") / 3).alias("scene_id")).agg(F.collect_list("embedding").alias("a"))
+    nxt = scene.select((F.col("scene_id") - 1).alias("scene_id"), F.col("a").alias("b"))
+    return scene.join(nxt, "scene_id").select("scene_id", vx.rounded(timeline.similarity(F.col("a"), F.col("b"))).alias("similarity"))
 
 
 HISTOGRAM_SQL = """
-WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS bin FROM embeddings)
-SELECT a.vec_id, round(corr(a.x, b.x), 6) AS similarity FROM u a JOIN u b ON b.vec_id = a.vec_id + 1 AND b.bin = a.bin GROUP BY a.vec_id
+WITH u AS (SELECT vec_id, vec_id // 3 AS scene_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS bin FROM embeddings),
+c AS (SELECT a.scene_id, a.vec_id AS left_id, b.vec_id AS right_id, corr(a.x, b.x) AS r FROM u a JOIN u b ON b.scene_id = a.scene_id + 1 AND b.bin = a.bin GROUP BY ALL)
+SELECT scene_id, round(avg(r), 6) AS similarity FROM c GROUP BY scene_id
 """
 
 

@@ -152,15 +152,23 @@ FROM r LEFT JOIN v ON v.key = r.key
 
 
 def opposite_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The opposed category and the scope's size of each vocabulary entry."""
-    v = rules.vocabulary(spark)
-    joined = v.join(rules.opposite(spark).withColumnRenamed("category", "key"), "key", "left").join(rules.scope(spark).withColumnRenamed("category", "key"), "key", "left")
-    return joined.select("key", "catid", F.coalesce("negative", F.lit(rules.ROOM_TONE)).alias("negative"), F.coalesce(F.size("allowed"), F.lit(0)).alias("scope_size"))
+    """The opposed category, what its negative query says, and the scopes' sizes of each vocabulary entry."""
+    joined = rules.vocabulary(spark)
+    for table in (rules.opposite(spark), rules.scope(spark), rules.negative_text(spark), rules.narrow_scope(spark)):
+        joined = joined.join(table.withColumnRenamed("category", "key"), "key", "left")
+    negative, size = F.coalesce("negative", F.lit(rules.ROOM_TONE)), lambda c: F.coalesce(F.size(c), F.lit(0))
+    return joined.select("key", "catid", negative.alias("negative"), F.coalesce("text", F.replace(F.lower(negative), F.lit("-"), F.lit(" "))).alias("negative_text"), size("allowed").alias("scope_size"), size("narrow").alias("narrow_size"))
+
+
+def _opposite_row(k: str, v: tuple) -> str:
+    negative = rules.OPPOSITE.get(k, rules.ROOM_TONE)
+    told = rules.NEGATIVE_TEXT.get(k, negative.lower().replace("-", " "))
+    return f"('{k}', '{v[2]}', '{negative}', '{told}', {len(rules.SCOPE[k]) + 1 if k in rules.SCOPE else 0}, {len(rules.SUB_INDEX.get(k, []))})"
 
 
 OPPOSITE_SQL = f"""
-WITH v(key, catid, negative, scope_size) AS (VALUES {", ".join(f"('{k}', '{v[2]}', '{rules.OPPOSITE.get(k, rules.ROOM_TONE)}', {len(rules.SCOPE[k]) + 1 if k in rules.SCOPE else 0})" for k, v in rules.VOCABULARY.items())})
-SELECT key, catid, negative, scope_size::INTEGER AS scope_size FROM v
+WITH v(key, catid, negative, negative_text, scope_size, narrow_size) AS (VALUES {", ".join(_opposite_row(k, v) for k, v in rules.VOCABULARY.items())})
+SELECT key, catid, negative, negative_text, scope_size::INTEGER AS scope_size, narrow_size::INTEGER AS narrow_size FROM v
 """
 
 

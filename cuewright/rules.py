@@ -52,6 +52,18 @@ VOCABULARY = {
     "CRWD-WALLA": ("CROWDS", "WALLA", "CRWDWalla", "Clean crowd murmur, no words"),
 }
 
+# The categories that a picture's two-line prompt offers.
+PROMPT_CATEGORIES = [
+    "AMB-URBAN", "AMB-TRAFFIC", "AMB-SUBURBAN", "AMB-PARK",
+    "AMB-FOREST", "AMB-RURAL", "AMB-SEASIDE", "AMB-LAKESIDE", "AMB-FARM", "AMB-DESERT",
+    "AMB-OFFICE", "AMB-RESTAURANT", "AMB-PUBLIC", "AMB-MARKET", "AMB-SCHOOL",
+    "AMB-RESIDENTIAL", "AMB-ROOM-TONE",
+    "AMB-CONSTRUCTION", "AMB-INDUSTRIAL",
+    "AMB-UNDERGROUND", "AMB-NAUTICAL",
+    "WATR-SURF", "WATR-WATERFALL", "WATR-FLOW",
+    "VEH-INTERIOR", "CRWD-WALLA",
+]
+
 # The category that is opposed to each.
 OPPOSITE = {
     "AMB-URBAN": "AMB-UNDERGROUND",
@@ -259,7 +271,10 @@ SUB_INDEX = {
 
 # Words that make a negative line unusable; words that are no tags.
 DANGER = ["no ", "without", "quiet", "silent", "muffled"]
-STOP_WORDS = "the a an and or but in on at to for of with from by is are was were be been has have had this that these those".split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "from", "by", "is",
+    "are", "was", "were", "be", "been", "has", "have", "had", "this", "that", "these", "those",
+]
 
 # Quality of a model file by a part of its name; the first match wins.
 QUANTISATION = [
@@ -308,3 +323,13 @@ def opposite(spark: SparkSession) -> DataFrame:
 
 def excluded(spark: SparkSession) -> DataFrame:
     return table(spark, list(EXCLUDED.items()), "category string, patterns array<string>")
+
+
+def negative_text(spark: SparkSession) -> DataFrame:
+    """(category, text): what a negative query says where the opposed category's own text won't do."""
+    return table(spark, list(NEGATIVE_TEXT.items()), "category string, text string")
+
+
+def narrow_scope(spark: SparkSession) -> DataFrame:
+    """(category, narrow): catalogue ids of a category's narrower scope."""
+    return table(spark, list(SUB_INDEX.items()), "category string, narrow array<string>")

@@ -59,18 +59,23 @@ def sound(data: bytes, size: int | None = None) -> dict:
     return out
 
 
+def header_of(path: str, data: bytes, probe: Callable[[str, bytes], float | None] | None = None) -> dict:
+    """The fields of ``HEADER`` for one file."""
+    told = sound(data)
+    if told["duration"] is None and probe is not None:
+        told["duration"] = probe(path, data)
+    return {"path": path, "size": len(data), **told, "embedded": description(data), "metadata_catid": category(data)}
+
+
 def headers(files: DataFrame, probe: Callable[[str, bytes], float | None] | None = None) -> DataFrame:
-    """``HEADER`` of ``files`` (path, content): a file that is no WAVE file has what ``probe`` gives as its duration."""
+    """``HEADER`` of ``files`` (path, content): a file that is no WAVE file has what ``probe`` gives as its duration.
+
+    Chunks may follow the sound's bytes, so the whole content is looked at.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            rows = []
-            for path, data in zip(frame["path"], frame["content"]):
-                data = bytes(data or b"")
-                told = sound(data)
-                if told["duration"] is None and probe is not None:
-                    told["duration"] = probe(path, data)
-                rows.append({"path": path, "size": len(data), **told, "embedded": description(data), "metadata_catid": category(data)})
+            rows = [header_of(path, bytes(data or b""), probe) for path, data in zip(frame["path"], frame["content"])]
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in HEADER.split(", ")])
 
     return files.select("path", F.col("content")).mapInPandas(read, HEADER)

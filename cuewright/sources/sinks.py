@@ -23,6 +23,19 @@ def write_json_array(df: DataFrame, path: str, order: str) -> None:
     listed.coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, by: str, order: str) -> None:
+    """An array of the rows of each ``by`` in ``order``, in a folder of its own: the records of many videos in one job."""
+    row = F.struct(*[c for c in df.columns if c != by])
+    listed = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), row.alias("r")))).alias("l"))
+    listed.select(by, F.to_json(F.transform("l", lambda x: x["r"]), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").partitionBy(by).text(path)
+
+
+def write_json_objects(df: DataFrame, path: str, by: str) -> None:
+    """One JSON object in a folder of its own for each row; ``by`` names it (and is read back as a column)."""
+    row = F.struct(*[c for c in df.columns if c != by])
+    df.select(by, F.to_json(row, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").partitionBy(by).text(path)
+
+
 def write_components(components: DataFrame, path: str) -> None:
     """Timeline components, a folder for each project."""
     components.write.mode("overwrite").partitionBy("project").parquet(path)
