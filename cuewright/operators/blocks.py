@@ -29,11 +29,18 @@ class Search(Protocol):
     def result(self) -> pa.RecordBatch | None: ...
 
 
+def partitions(df: DataFrame) -> int:
+    """How many partitions ``df`` comes in, without running any of it: behind a shuffle, as many as shuffles have."""
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return plan.toRdd().getNumPartitions()
+
+
 def chunks_for(rows: DataFrame, blocks: int) -> int:
     """Chunks of the rows: enough to keep all cores busy, or one for each partition if these are more."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = rows._jdf.queryExecution().toRdd().getNumPartitions() if not rows.isStreaming else 1
-    return max(1, min(MOST_CHUNKS, max(-(-cores // blocks), -(-parts // blocks))))
+    return max(1, min(MOST_CHUNKS, max(-(-cores // blocks), -(-partitions(rows) // blocks))))
 
 
 def searched(queries: DataFrame, rows: DataFrame, query_key: str, row_keys: list[str], search: Callable[[], Search], schema: str, block: int) -> DataFrame:

@@ -28,14 +28,14 @@ def keyword_vote(path: Column, embedded: Column) -> Column:
 
 
 def zero_shot(texts: DataFrame, anchors: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """(key, catid, score): the anchor (ord, catid, emb) most similar to each text (key, emb), or UNKNOWN below ``floor``.
+    """(key, catid, score): the anchor (ord, catid, emb) most similar to each text (key, emb), or UNKNOWN below ``floor``; rows may repeat a key.
 
-    Anchors are a rule table, so they are the broadcast side; the arg-max is one aggregate, partial before its shuffle.
+    Anchors are a rule table: they travel as one row, and the best is an array's maximum, so that nothing is shuffled.
     """
-    a = anchors.select("ord", "catid", vx.normalised(F.col("emb")).alias("a"))
-    pairs = texts.select("key", vx.normalised(F.col("emb")).alias("v")).crossJoin(F.broadcast(a))
-    best = F.max(F.struct(vx.rounded(vx.dot(F.col("v"), F.col("a"))).alias("score"), (-F.col("ord")).alias("o"), F.col("catid").alias("catid")))
-    out = pairs.groupBy("key").agg(best.alias("b"))
+    unit = anchors.select("ord", "catid", vx.normalised(F.col("emb")).alias("a")).agg(F.collect_list(F.struct("ord", "catid", "a")).alias("_anchors"))
+    held = texts.select("key", vx.normalised(F.col("emb")).alias("v")).crossJoin(F.broadcast(unit))
+    scored = F.transform("_anchors", lambda x: F.struct(vx.rounded(vx.dot(F.col("v"), x["a"])).alias("score"), (-x["ord"]).alias("o"), x["catid"].alias("catid")))
+    out = held.select("key", F.array_max(scored).alias("b"))
     return out.select("key", F.when(F.col("b.score") >= floor, F.col("b.catid")).otherwise(rules.UNKNOWN).alias("catid"), F.col("b.score").alias("score"))
 
 

@@ -96,3 +96,26 @@ def test_index_guard_and_counts(spark):
     assert tuple(library.counts(found, index).first()) == (4, 3, 2, 1)
     assert [r["path"] for r in library.long_enough(library.new_files(found, index)).collect()] == ["/d"]
     assert library.long_enough(found, 0).count() == 4
+
+
+def test_rows_that_are_no_vectors_take_no_place(spark):
+    """With NaN, zero and null rows, all k good rows are found; a text vector that is none counts as absent."""
+    good = [(f"/good{i}", [1.0, i / 10], [1.0, 0.0]) for i in range(6)]
+    bad = [("/nan", [float("nan"), 1.0], None), ("/inf", [1.0, float("inf")], None), ("/zero", [0.0, 0.0], None), ("/null", None, None), ("/hole", [None, 1.0], None), (None, [1.0, 0.0], None)]
+    odd = [("/text", [1.0, 0.05], [float("nan"), 1.0])]
+    lib = spark.createDataFrame(good + bad * 3 + odd, "path string, audio_emb array<double>, text_emb array<double>").withColumn("catid", F.lit("x"))
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, None)], "query_id long, query_emb array<double>")
+    hits = retrieval.search(q, lib, retrieval.SearchParams(top_k=7)).collect()
+    assert {r["query_id"] for r in hits} == {1} and {r["path"] for r in hits} == {p for p, *_ in good + odd}
+    assert [r["text_sim"] for r in hits if r["path"] == "/text"] == [0.0]
+
+
+def test_one_scan_for_any_number_of_blocks(spark):
+    """The plan reads the library once, and no query is collected or sent to all tasks."""
+    from cuewright.plans import inputs
+    from helpers import SF
+
+    lib, q = inputs.library(spark, SF), inputs.queries(spark, SF)
+    plans = [retrieval.search(q, lib, retrieval.SearchParams(query_block=n))._jdf.queryExecution().optimizedPlan().toString() for n in (512, 20)]
+    assert plans[0].count("MapInArrow") == plans[1].count("MapInArrow") == 1
+    assert plans[0].count("Relation") == plans[1].count("Relation")

@@ -133,3 +133,20 @@ def test_modes(spark):
     frames = spark.createDataFrame([(1, i, float(v), float(b)) for i, (v, b) in enumerate(zip(value, light))], "video_id long, frame_no long, value double, brightness double")
     cuts = lambda d: sorted(r["frame_no"] for r in timeline.detect_cuts(frames, d).collect())
     assert cuts(config.detection("static")) == [3, 6] and cuts(config.detection("adaptive")) == [6] and cuts(config.detection("dynamic")) == [3, 6]
+
+
+def test_similarity_columns(spark):
+    """The column form equals the plain one; empty and flat sides count as 0."""
+    a, b = [[1.0, 2.0, 4.0], [0.0, 1.0, 0.0]], [[3.0, 1.0, 2.0], [1.0, 1.0, 1.0], [2.0, 4.0, 8.0]]
+    df = spark.createDataFrame([(a, b), (a, []), ([], b), (a, a)], "a array<array<double>>, b array<array<double>>")
+    got = [r[0] for r in df.select(timeline.similarity(F.col("a"), F.col("b"))).collect()]
+    assert got == pytest.approx([timeline.histogram_similarity(x, y) for x, y in ((a, b), (a, []), ([], b), (a, a))])
+
+
+def test_blank_info_join_and_counts(spark):
+    sc = scenes(spark, [(0, 100, False), (100, 900, False), (900, 2000, False)])
+    info = spark.createDataFrame([(1, 1, (True,))], "video_id long, scene_id int, blank_info struct<is_blank:boolean>")
+    got = {r["scene_id"]: r["blank_info"] for r in timeline.with_blank_info(sc, info).collect()}
+    assert got[0] is None and got[1]["is_blank"] and got[2] is None
+    assert [tuple(r) for r in timeline.merge_counts(sc, timeline.merge_short(sc)).collect()] == [(1, 3, 2, 1)]
+    assert [tuple(r) for r in timeline.merge_counts(sc, sc.limit(0)).collect()] == [(1, 3, 0, 3)]
