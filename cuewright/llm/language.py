@@ -128,7 +128,7 @@ def _counts(rows: DataFrame, per_task, key: str, langs: int) -> DataFrame:
             part = keys[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([j for _, j in part], pa.int32()), pa.array([found[x] for x in part], pa.int64())], [key, "j", "n"])
 
-    counted = rows.mapInArrow(count, f"{key} string, j int, n long")
+    counted = common.spread(rows).mapInArrow(count, f"{key} string, j int, n long")
     return counted.groupBy(key).agg(*(F.sum(F.when(F.col("j") == j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in range(langs)))
 
 
@@ -220,7 +220,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (common.fold() == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, PREDICTED)
+    return common.spread(rows).mapInArrow(score, PREDICTED)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -388,7 +388,7 @@ def encode(docs: DataFrame) -> DataFrame:
                 yield key, carry(*payload_of(text.as_py()))
 
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small.mapInArrow(lambda it: _batches(rows(it), ["doc_id", "media"], [pa.int64(), pa.binary()], lambda r: len(r[1])), ENCODED)
+    return common.spread(small).mapInArrow(lambda it: _batches(rows(it), ["doc_id", "media"], [pa.int64(), pa.binary()], lambda r: len(r[1])), ENCODED)
 
 
 def probe(media: DataFrame) -> DataFrame:

@@ -90,7 +90,8 @@ def pieces(docs: DataFrame, groups: int, tokenizer: str, end_id: int, capacity:
                         rows.append((key, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)]), n, bucket, twin))
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), [pa.int64()] * 6 + [pa.int32()])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "twin"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return common.spread(small).mapInArrow(cut, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, group: int = GROUP, seed: int = 9) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuewright.operators import blocks
+
 from . import common, tokens
 
 MAGIC = b"CWR1"
@@ -227,7 +229,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     small = small.withColumn("h", F.xxhash64("text"))  # rows that share a doc_id may be in several ranges
     spark = docs.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), small._jdf.queryExecution().toRdd().getNumPartitions())
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.partitions(small))
     ordered = small.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     ordered.mapInArrow(shards, SHARDS).write.parquet(path)
 

@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, mass:
     chosen = common.sized_broadcast(common.stored(chosen, "toxic-labels"), 4 * train_docs)
     # a text that repeats an id counts once for each row
     rows = common.stored(docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("half", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)).cast("int")), "toxic-sample")
+    rows = common.spread(rows)
     sizes = {x["y"]: x["count"] for x in rows.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return Model(None, None, 1.0 if sizes.get(1) else 0.0)
@@ -184,7 +185,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *map(pa.array, got[:, 1:].T)], ["doc_id", "held_out", "score", "predicted", "word_ratio", "passage_ratio", "text_ratio"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (common.fold() == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scored, SCORED)
+    return common.spread(rows).mapInArrow(scored, SCORED)
 
 
 def ordinary_only(docs: DataFrame, model: Model) -> DataFrame:
