@@ -279,3 +279,26 @@ def test_postings_scatter():
     assert (topk.Postings(rows).scores(queries) == queries @ rows.T).all()
     big = rows * 2**40
     assert (topk.Postings(big).scores(queries) == queries @ big.T).all()
+
+
+def test_work_needs_a_shared_folder():
+    """A cluster without ``spark.checkpoint.dir`` is an error, not a folder of each machine."""
+    from types import SimpleNamespace
+
+    from cuewright import workspace
+    from cuewright.llm import common
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other=None: other), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+        for folder in (common.work_dir, workspace.folder):
+            with pytest.raises(ValueError):
+                folder(bare, "x")
+
+
+def test_spread(spark):
+    from cuewright.llm import common
+
+    one = spark.range(100).coalesce(1)
+    assert common.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, 9)
+    assert common.spread(many) is many
