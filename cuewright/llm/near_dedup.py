@@ -16,8 +16,8 @@ Joining: ``BANDS`` hashes of ``ROWS`` coordinates each.  Equal texts are first m
 In each bucket of a band every member is tied to the smallest one.  Ties are tested one by one by their shingles: first one of each
 text, then those whose ends are not yet connected.  What holds is put together to components.  In a bucket whose members are in several
 components (and that has more than two, as pairs are tested by then), those outside of the smallest one's component meet all others, in blocks of
-``BLOCK_DOCS`` documents, so that a link between any two that share a band is found: pairs of one component are passed over, as are
-pairs whose sizes rule it out, and pairs that agree on less than ``SURELY_APART`` of all coordinates.  No bucket or pair is capped, and what is compared
+``BLOCK_DOCS`` documents and ``BLOCK_ELEMENTS`` elements, so that a link between any two that share a band is found: pairs of one component are passed over, as are
+pairs whose sizes rule it out, and, in a block with very many pairs, those that agree on less than ``SURELY_APART`` of all coordinates.  No bucket or pair is capped, and what is compared
 follows the buckets, not the components.
 
 Two texts of similarity 0.8 share a band with probability 0.997, of 0.85 with 0.99998; they agree on less than 0.6 of 256 coordinates with a
@@ -48,8 +48,9 @@ BANDS = 32
 ROWS = 8
 COORDINATES = BANDS * ROWS
 BLOCK_DOCS = 1500
-BLOCK_CHARS = 24_000_000
+BLOCK_ELEMENTS = 4_000_000
 SURELY_APART = 0.6
+PAIRS_A_TEXT = 32
 UNITS = 8
 SALTS = 8
 _WORD = re.compile(r"\w+")
@@ -217,25 +218,27 @@ def linked(sides: list[int], groups: list[int], sets: list, threshold: float = T
     ``sides`` tells each document's block: with two blocks, only pairs across them are compared.
     """
     n = len(sets)
-    names = np.array([signature(*x) if len(x[0]) else np.arange(COORDINATES) for x in sets]).reshape(n, COORDINATES)
     side, group, size = np.array(sides), np.array(groups), np.array([int(x[1].sum()) for x in sets])
-    across, parts = len(set(sides)) > 1, []
+    across, left, right = len(set(sides)) > 1, [], []
     for i in range(n - 1):
         rest = slice(i + 1, n)
         ok = (group[rest] != group[i]) & (np.minimum(size[rest], size[i]) >= threshold * np.maximum(size[rest], size[i]))
         at = np.flatnonzero(ok & (side[rest] != side[i]) if across else ok)
-        if len(at):
-            near = np.count_nonzero(names[at + i + 1] == names[i], axis=1) / COORDINATES
-            at, near = at[near >= SURELY_APART], near[near >= SURELY_APART]
-            parts.append((np.full(len(at), i, dtype=np.int32), (at + i + 1).astype(np.int32), near.astype(np.float32)))
-    if not parts:
-        return []
-    left, right, near = (np.concatenate(x) for x in zip(*parts))
+        left.append(np.full(len(at), i, dtype=np.int32))
+        right.append((at + i + 1).astype(np.int32))
+    left, right = np.concatenate([*left, np.zeros(0, np.int32)]), np.concatenate([*right, np.zeros(0, np.int32)])
+    if len(left) > PAIRS_A_TEXT * n:  # where pairs are many, signatures cost less than they save
+        names = np.array([signature(*x) if len(x[0]) else np.arange(COORDINATES) for x in sets]).reshape(n, COORDINATES)
+        near = np.concatenate([np.count_nonzero(names[left[k : k + 4096]] == names[right[k : k + 4096]], axis=1) for k in range(0, len(left), 4096)]) / COORDINATES
+        order = np.argsort(-near, kind="stable")
+        order = order[near[order] >= SURELY_APART]
+    else:
+        order = np.arange(len(left))
+    out: list[tuple[int, int]] = []
     known = Components(n)
     first: dict[int, int] = {}
     for i, g in enumerate(groups):
         known.join(first.setdefault(g, i), i)
-    order, out = np.argsort(-near, kind="stable"), []
     while len(order):
         for x in order[:2048].tolist():
             i, j = int(left[x]), int(right[x])
@@ -249,24 +252,25 @@ def linked(sides: list[int], groups: list[int], sets: list, threshold: float = T
     return out
 
 
-SIGNED = "doc_id long, h1 long, h2 long, bands array<long>"
+SIGNED = "doc_id long, h1 long, h2 long, bands array<long>, size long"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, bands): two hashes of the text, and the bands of its signature (null without words)."""
+    """(doc_id, h1, h2, bands, size): two hashes of the text, the bands of its signature (null without words), and the number of its elements."""
 
     def sign(batches):
         shingle = Shingler()
         for batch in batches:
-            bands = []
+            bands, sizes = [], []
             for text in batch.column("text"):
                 x = shingle(text.as_py())
                 bands.append(bands_of(signature(*x)) if len(x[0]) else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "bands"])
+                sizes.append(len(x[0]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "h1", "h2", "bands", "size"])
         del shingle
         common.tidy()
 
-    return keyed(docs).mapInArrow(sign, SIGNED)
+    return common.spread(keyed(docs)).mapInArrow(sign, SIGNED)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -345,17 +349,18 @@ def _in_component(rows: DataFrame, column: str, found: DataFrame, name: str) ->
 
 
 def bucket_links(members: DataFrame, found: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links (a, b) across components between texts that share a bucket.  ``members``: (node, band, h, b, n); ``found``: (node, root)."""
+    """Links (a, b) across components between texts that share a bucket.  ``members``: (node, size, band, h, b, n); ``found``: (node, root)."""
     m = _in_component(members.filter("n > 2"), "node", found, "c")
     m = common.stored(_in_component(m, "b", found, "cb").withColumn("guest", F.col("c") != F.col("cb")), "near-members")
     per = m.groupBy("band", "h").agg(
         F.count_if("guest").alias("guests"), F.count_if(~F.col("guest")).alias("hosts"),
+        F.sum(F.when(F.col("guest"), F.col("size")).otherwise(0)).alias("guest_size"), F.sum(F.when(F.col("guest"), 0).otherwise(F.col("size"))).alias("host_size"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.sum(F.xxhash64("c", "node").cast("decimal(38,0)")).alias("same2"),
     ).filter("guests > 0")
     # buckets of the same members need one look only
-    per = per.groupBy("same", "same2", "guests", "hosts").agg(F.min(F.struct("band", "h")).alias("k")).select("k.band", "k.h", "guests", "hosts")
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK_DOCS).cast("int")
-    per = common.stored(per.select("band", "h", blocks("guests").alias("gb"), blocks("hosts").alias("hb")), "near-open")
+    per = per.groupBy("same", "same2", "guests", "hosts", "guest_size", "host_size").agg(F.min(F.struct("band", "h")).alias("k")).select("k.*", "guests", "hosts", "guest_size", "host_size")
+    blocks = lambda n, size: F.ceil(F.greatest(F.col(n) / BLOCK_DOCS, F.col(size) / BLOCK_ELEMENTS)).cast("int")
+    per = common.stored(per.select("band", "h", blocks("guests", "guest_size").alias("gb"), blocks("hosts", "host_size").alias("hb")), "near-open")
     open_ = common.spread_join(m.select("node", "band", "h", "c", "guest"), per, ["band", "h"], ["node"], salts=SALTS)
     gb, hb, r = F.col("gb"), F.col("hb"), F.xxhash64("node")
     side = F.when(F.col("guest"), F.pmod(r, gb)).otherwise(gb + F.pmod(r, hb)).cast("int")
@@ -386,10 +391,12 @@ def _texts_of(docs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def found_links(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root) of the texts that have links.  ``texts``: (node, doc, h1, h2, bands)."""
-    held = texts.select("node", F.posexplode("bands").alias("band", "h"))
+    """(node, root) of the texts that have links.  ``texts``: (node, doc, h1, h2, bands, size)."""
+    held = texts.select("node", "size", F.posexplode("bands").alias("band", "h"))
     buckets = common.stored(held.groupBy("band", "h").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-buckets")
-    members = common.stored(common.spread_join(held, buckets, ["band", "h"], ["node"], salts=SALTS).select("node", "band", "h", "b", "n"), "near-shared")
+    if buckets.isEmpty():
+        return texts.select("node", F.col("node").alias("root")).limit(0)
+    members = common.stored(common.spread_join(held, buckets, ["band", "h"], ["node"], salts=SALTS).select("node", "size", "band", "h", "b", "n"), "near-shared")
     ties = common.stored(members.filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near-ties")
     whole = common.stored(_texts_of(docs, texts, members.select("node").distinct()), "near-texts")
     # of each text one tie, then those that are still open
@@ -413,8 +420,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = known.withColumn("shared", F.lit(False)) if shared.isEmpty() else common.spread_join(known, shared, ["doc_id"], ["h1"], "left").fillna(False, ["shared"])
     # the document that a text is named after
     own = F.min(F.struct("shared", "doc_id"))
-    texts = known.groupBy("h1", "h2").agg(own.alias("own"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
-    texts = common.stored(texts.select(F.monotonically_increasing_id().alias("node"), F.col("own.doc_id").alias("doc"), F.col("own.shared").alias("shared"), "h1", "h2", "bands", "copies"), "near-distinct")
+    texts = known.groupBy("h1", "h2").agg(own.alias("own"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"))
+    texts = common.stored(texts.select(F.monotonically_increasing_id().alias("node"), F.col("own.doc_id").alias("doc"), F.col("own.shared").alias("shared"), "h1", "h2", "bands", "size", "copies"), "near-distinct")
     found = found_links(docs, texts, threshold)
     names = texts.drop("bands").join(found, "node")
     heads = names.groupBy("root").agg(F.min(F.struct("shared", "doc", "h1", "h2")).alias("top"))
