@@ -3,7 +3,7 @@
 Queries are dealt to blocks and rows to chunks by hashes.  A task has one block and streams the rows of one chunk past it, so it
 holds a block and its best hits only.  Each row goes to every block, each query to every chunk: with blocks of ``block`` queries
 what is shuffled is small beside the products that are computed.  There are about as many tasks as the cluster has cores or the rows have
-partitions.
+partitions; where the rows' number is given, there are as few as hold ``chunk`` rows each and keep all cores busy.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.functions import vector as vx
+
 MOST_CHUNKS = 4096
 
 
@@ -43,19 +45,38 @@ def chunks_for(rows: DataFrame, blocks: int) -> int:
     return max(1, min(MOST_CHUNKS, max(-(-cores // blocks), -(-partitions(rows) // blocks))))
 
 
-def searched(queries: DataFrame, rows: DataFrame, query_key: str, row_keys: list[str], search: Callable[[], Search], schema: str, block: int) -> DataFrame:
-    """Hits (``schema``) of every block of ``queries`` in every chunk of ``rows``; the caller merges the chunks' hits.
+def dealt_to(queries: int, rows: int, cores: int, block: int, chunk: int, k: int) -> tuple[int, int]:
+    """(blocks, chunks) of at most ``block`` queries and ``chunk`` rows, that are at least ``cores`` pairs and shuffle little.
 
-    ``queries`` are counted once; rows that are alike in ``row_keys`` meet in one chunk.
+    Each row (two vectors) goes to every block; each query (one vector) and its ``k`` hits (a quarter of one) to or from every chunk.
     """
-    blocks = max(1, -(-queries.count() // block))
-    chunks = chunks_for(rows, blocks)
+    blocks, chunks = max(1, -(-queries // block)), max(1, -(-rows // chunk))
+    if blocks * chunks < cores:
+        even = (cores * queries * (1 + k / 4) / (2 * max(rows, 1))) ** 0.5
+        blocks = max(blocks, min(cores // chunks, round(even)))
+        chunks = max(chunks, -(-cores // blocks))
+    return blocks, chunks
+
+
+def searched(
+    queries: DataFrame, rows: DataFrame, query_key: str, row_keys: list[str], search: Callable[[], Search], schema: str, block: int, chunk: int | None = None, size: int = 0, k: int = 0, order: str | None = None
+) -> DataFrame:
+    """Hits (``schema``) of every block of ``queries`` in every chunk of ``rows``; the caller merges the chunks' hits.
+
+    ``queries`` are counted once; rows that are alike in ``row_keys`` meet in one chunk.  With ``chunk``, ``size`` is the number of rows or more,
+    and ``k`` the hits that a query has in a chunk.  Rows come by their column ``order``, if it is given.
+    """
+    count = queries.count()
+    blocks = max(1, -(-count // block))
+    chunks = chunks_for(rows, blocks) if chunk is None else 1
+    if chunk is not None:
+        blocks, chunks = dealt_to(count, size, rows.sparkSession.sparkContext.defaultParallelism, block, chunk, k)
     number = lambda keys, n: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.select(number([query_key], blocks).alias("b"), every(chunks).alias("c"), F.lit(False).alias("late"), F.struct(*queries.columns).alias("q"))
     r = rows.select(every(blocks).alias("b"), number(row_keys, chunks).alias("c"), F.lit(True).alias("late"), F.struct(*rows.columns).alias("r"))
     both = q.unionByName(r, allowMissingColumns=True).withColumn("task", F.col("b") * chunks + F.col("c"))
-    dealt = both.select("task", "late", "q", "r").repartitionById(blocks * chunks, F.col("task")).sortWithinPartitions("task", "late")
+    dealt = both.select("task", "late", "q", "r").repartitionById(blocks * chunks, F.col("task")).sortWithinPartitions("task", "late", *([f"r.{order}"] if order else []))
 
     def run(batches):
         task, found = None, None
@@ -133,3 +154,38 @@ class Best:
         """Columns (query, score, key, and what ``more`` gave) of the best, or None."""
         self.shrink()
         return self.held[0] if self.held else None
+
+
+class Nearest:
+    """The k best rows of each query, over batches whose rows are numbered in the order of ties; ``floor`` is the least score that can still be one."""
+
+    def __init__(self, queries: int, k: int, least: float | None):
+        self.n, self.k, self.held, self.size, self.seeded = queries, k, [], 0, False
+        self.floor = np.full(queries, -np.inf if least is None else least)
+
+    def add(self, *columns: np.ndarray) -> None:
+        """Columns: query, score, the row's number, and any more."""
+        if len(columns[0]):
+            self.held.append(columns)
+            self.size += len(columns[0])
+        if self.size > 3 * self.n * self.k + 16_384:
+            self.shrink()
+
+    def shrink(self) -> None:
+        if not self.held:
+            return
+        columns = [np.concatenate(x) for x in zip(*self.held)]
+        query, score, at = columns[:3]
+        order = np.lexsort((at, -score, query))
+        ordered = query[order]
+        place = np.arange(len(order)) - np.searchsorted(ordered, ordered, side="left")
+        last = order[place == self.k - 1]
+        # a later row must be better than the k-th; scores are rounded, so half a unit more tells
+        above = np.maximum(score[last] + 0.5 * 10.0**-vx.DIGITS, np.nextafter(score[last], np.inf))
+        self.floor[query[last]] = np.maximum(self.floor[query[last]], above)
+        order = order[place < self.k]
+        self.held, self.size = [tuple(x[order] for x in columns)], len(order)
+
+    def result(self) -> tuple | None:
+        self.shrink()
+        return self.held[0] if self.held else None

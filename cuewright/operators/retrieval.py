@@ -72,53 +72,109 @@ def ranked(scored: DataFrame, score: str, k: int, tie: str = "path", name: str =
     return scored.filter(F.col(score).isNotNull()).withColumn(name, F.row_number().over(order)).filter(F.col(name) <= k)
 
 
+#: What a task holds at most: queries, places of their hits, and library rows.  ``SearchParams.query_block`` is how many queries are multiplied at once.
+TASK_QUERIES, TASK_PLACES, TASK_ROWS = 65_536, 1_600_000, 262_144
+ROW_STEP, PAIR_STEP = 2048, 32_768
+
 HITS = "query_id long, path string, catid string, score double, audio_sim double, text_sim double, neg_sim double"
 
 
 class _Search:
-    """A block of queries (query_id, v, allowed) and its best library rows so far."""
+    """A block of queries (query_id, v, allowed) and its best library rows so far.
+
+    A product in single precision tells which pairs may be among the best, its error allowed for; only these are scored, in double precision.
+    Rows come in order of path, so that ties go by their numbers.
+    """
 
     def __init__(self, params: SearchParams):
         self.params, self.ids, self.vectors, self.allowed = params, [], [], []
-        self.best: blocks.Best | None = None
+        self.groups: list[tuple] | None = None
         self.rows, self.count = [], 0
 
     def add_queries(self, queries: pa.StructArray) -> None:
-        self.ids += queries.field("query_id").to_pylist()
+        self.ids.append(queries.field("query_id").to_numpy(zero_copy_only=False))
         self.vectors.append(queries.field("v"))
         self.allowed += [None if x is None else tuple(x) for x in queries.field("allowed").to_pylist()]
 
+    def _begin(self) -> None:
+        """Queries of one scope are a group, which meets the rows of its scope only."""
+        whole, self.names = blocks.matrix(pa.concat_arrays(self.vectors)), np.concatenate(self.ids)
+        self.width, self.vectors, self.groups = whole.shape[1], [], []
+        for names in set(self.allowed):
+            who = np.flatnonzero([x == names for x in self.allowed])
+            exact = whole[who]
+            quick = np.hstack([exact, np.ones((len(who), 1))]).astype(np.float32)  # the last is for what is taken off a row
+            self.groups.append((names, who, exact, quick, blocks.Nearest(len(who), self.params.top_k, self.params.min_score)))
+
     def add_rows(self, rows: pa.StructArray) -> None:
         if not self.ids or not len(rows):
             return
-        if self.best is None:
-            self.matrix = blocks.matrix(pa.concat_arrays(self.vectors))
-            self.best = blocks.Best(len(self.ids), self.params.top_k)
-            self.scopes = {names: np.array([x == names for x in self.allowed]) for names in set(self.allowed) if names is not None}
-        w, width = self.params.text_weight, self.matrix.shape[1]
-        audio = self.matrix @ blocks.matrix(rows.field("audio_emb"), width).T
-        text_emb = rows.field("text_emb")
+        if self.groups is None:
+            self._begin()
+        for a in range(0, len(rows), ROW_STEP):
+            self._add(rows.slice(a, ROW_STEP))
+
+    def _add(self, rows: pa.StructArray) -> None:
+        w, alpha, first = self.params.text_weight, self.params.neg_alpha, self.count
+        audio = blocks.matrix(rows.field("audio_emb"), self.width)
+        text_emb, text = rows.field("text_emb"), np.zeros_like(audio)
         held = np.flatnonzero(text_emb.is_valid().to_numpy(zero_copy_only=False))
-        text = np.zeros_like(audio)
         if len(held):
-            text[:, held] = self.matrix @ blocks.matrix(text_emb.take(pa.array(held)), width).T
-        negative = rows.field("neg_sim").to_numpy(zero_copy_only=False)
-        score = np.round(audio * (1 - w) + text * w - self.params.neg_alpha * negative, vx.DIGITS)
-        ok = np.isfinite(score)
-        catids = rows.field("catid").to_numpy(zero_copy_only=False).astype(object)
-        for names, who in self.scopes.items():
-            ok[who] &= np.array([c in names for c in catids])
-        if self.params.min_score is not None:
-            ok &= score >= self.params.min_score
-        whole = np.rint(np.where(ok, score, 0.0) * 10**vx.DIGITS).astype(np.int64)
-        self.best.add(whole, rows.field("path").to_numpy(zero_copy_only=False), ok, lambda q, at: [score[q, at], audio[q, at], text[q, at], negative[at], catids[at]])
+            text[held] = blocks.matrix(text_emb.take(pa.array(held)), self.width)
+        negative = rows.field("neg_sim").to_numpy(zero_copy_only=False).astype(np.float64)
+        catids = rows.field("catid").to_pylist()
+        self.rows.append((rows.field("path").take(pa.array(np.arange(len(rows)))), catids, negative))  # a copy, else the whole batch is held
+        self.count += len(rows)
+        off = -alpha * negative
+        usable = np.isfinite(off)
+        fused = np.hstack([audio * (1 - w) + text * w, np.where(usable, off, 0.0)[:, None]])
+        scale = float(np.abs(fused).max(initial=0)) or 1.0
+        # sums of larger numbers may not be finite: all of these pairs are scored
+        plain = max(float(np.abs(x).max(initial=0)) for x in (audio, text, fused)) > 1e150
+        small = (fused / scale).astype(np.float32)
+        error = (self.width + 5) * 2.0**-23 * 1.5 * float(np.sqrt((small.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
+        for names, _, exact, quick, best in self.groups:
+            at = np.flatnonzero(usable if names is None else usable & np.array([c in names for c in catids]))
+            if not len(at):
+                continue
+            narrow = small if len(at) == len(small) else small[at]
+            for a in range(0, best.n, self.params.query_block):
+                self._pairs(slice(a, a + self.params.query_block), at, narrow, exact, quick, best, audio, text, negative, scale, error, plain, first)
+            best.seeded = best.seeded or len(at) > best.k
+
+    def _pairs(self, part, at, narrow, exact, quick, best, audio, text, negative, scale, error, plain, first) -> None:
+        """The pairs of some queries with some rows (``at``) that may be among the best."""
+        w, alpha, unit = self.params.text_weight, self.params.neg_alpha, 10.0**-vx.DIGITS
+        if plain:
+            query, row = (x.ravel() for x in np.indices((len(exact[part]), len(at))))
+        else:
+            near = quick[part] @ narrow.T
+            if not best.seeded and len(at) > best.k:
+                kth = np.partition(near, len(at) - best.k, axis=1)[:, len(at) - best.k].astype(np.float64)
+                best.floor[part] = np.maximum(best.floor[part], (kth - error) * scale - unit)
+            least = ((best.floor[part] - unit) / scale - error).astype(np.float32)
+            query, row = np.divmod(np.flatnonzero(near >= least[:, None]), len(at))
+        if not len(query):
+            return
+        row = at[row]
+        if len(query) * 16 > len(exact[part]) * len(at):
+            heard, told = (exact[part] @ audio.T)[query, row], (exact[part] @ text.T)[query, row]
+        else:
+            steps = range(0, len(query), PAIR_STEP)
+            heard, told = (np.concatenate([np.einsum("ij,ij->i", exact[part][query[b : b + PAIR_STEP]], x[row[b : b + PAIR_STEP]]) for b in steps]) for x in (audio, text))
+        score = np.round(heard * (1 - w) + told * w - alpha * negative[row], vx.DIGITS)
+        good = np.isfinite(score) & (score >= best.floor[part][query])
+        best.add((query[good] + part.start).astype(np.int32), score[good], (row[good] + first).astype(np.int32), heard[good], told[good])
 
     def result(self) -> pa.RecordBatch | None:
-        found = self.best.result() if self.best else None
-        if found is None:
+        found = [(who, x) for _, who, _, _, best in self.groups or () if (x := best.result()) is not None]
+        if not found:
             return None
-        query, _, path, score, audio, text, negative, catid = found
-        columns = [pa.array(np.array(self.ids, dtype=np.int64)[query]), pa.array(path, pa.string()), pa.array(catid, pa.string()), *map(pa.array, (score, audio, text, negative))]
+        query, score, row, heard, told = (np.concatenate(x) for x in zip(*((who[x[0]], *x[1:]) for who, x in found)))
+        paths, catids, negative = zip(*self.rows)
+        take = pa.array(row)
+        columns = [pa.array(self.names[query].astype(np.int64)), pa.concat_arrays(paths).take(take), pa.array([c for x in catids for c in x], pa.string()).take(take)]
+        columns += [pa.array(x) for x in (score, heard, told, np.concatenate(negative)[row])]
         return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in HITS.split(", ")])
 
 
@@ -136,7 +192,11 @@ def search(queries: DataFrame, library: DataFrame, params: SearchParams = Search
         q = q.join(F.broadcast(active_scopes(library, params.scope_floor)), "category", "left").drop("category")
     else:
         q = q.withColumn("allowed", F.lit(None).cast("array<string>"))
-    hits = blocks.searched(q.filter("v is not null").select("query_id", "v", "allowed"), lib, "query_id", ["path"], lambda: _Search(params), HITS, params.query_block)
+    kinds = {c: t for c, t in library.dtypes if c in ("audio_emb", "text_emb") and t == "array<float>"}  # as narrow as they were
+    lib = lib.select(*[F.col(c).cast(kinds.get(c, t)).alias(c) for c, t in lib.dtypes])
+    block = max(1, min(TASK_QUERIES, TASK_PLACES // max(1, params.top_k)))
+    asked = q.filter("v is not null").select("query_id", "v", "allowed")
+    hits = blocks.searched(asked, lib, "query_id", ["path"], lambda: _Search(params), HITS, block, TASK_ROWS, library.count(), params.top_k, "path")
     sims = [vx.rounded(F.col(c)).alias(c) for c in ("audio_sim", "text_sim", "neg_sim")]
     return ranked(hits, "score", params.top_k).select("query_id", "rank", "path", "catid", "score", *sims)
 

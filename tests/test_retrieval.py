@@ -1,5 +1,7 @@
 """Retrieval and classification on small libraries."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +121,51 @@ def test_one_scan_for_any_number_of_blocks(spark):
     plans = [retrieval.search(q, lib, retrieval.SearchParams(query_block=n))._jdf.queryExecution().optimizedPlan().toString() for n in (512, 20)]
     assert plans[0].count("MapInArrow") == plans[1].count("MapInArrow") == 1
     assert plans[0].count("Relation") == plans[1].count("Relation")
+
+
+def test_small_query_blocks_do_not_multiply_the_library(spark):
+    """Each row is dealt to as few tasks as keep the cores busy, however few queries are multiplied at once."""
+    q = queries(spark, *[(k, "", None, [1.0, k / 50]) for k in range(200)])
+    rows = lib(spark, [(f"/{i:02d}", [1.0, i % 7 / 10], None, None) for i in range(40)])
+    plan = retrieval.search(q, rows, SearchParams(query_block=1))._jdf.queryExecution().optimizedPlan()
+    dealt = [int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", plan.toString())]
+    assert dealt and max(dealt) <= 2 * spark.sparkContext.defaultParallelism, plan.toString()
+    from cuewright.operators import blocks
+
+    for size in (100_000, 600_000, 4_000_000):  # what is dealt to a task is bounded, and all tasks are
+        b, c = blocks.dealt_to(size, size, 12, retrieval.TASK_QUERIES, retrieval.TASK_ROWS, 3)
+        assert size / b <= retrieval.TASK_QUERIES and size / c <= retrieval.TASK_ROWS and b * c >= 12 and b * size < 16 * size * max(1, size / 1_000_000)
+
+
+def test_search_of_many_steps_equals_brute_force(spark, monkeypatch):
+    """Copies, ties, scopes and far larger rows over several steps of rows, with floors that rise."""
+    rng = np.random.default_rng(5)
+    a, t = rng.normal(size=(900, 8)), rng.normal(size=(900, 8))
+    a[100:200], t[100:200] = a[7], t[7]  # copies
+    a[300:310] *= 1e6
+    a[310:312] = 1e200
+    names = ["AMBForst", "WATRSurf", "AMBUrbn"]
+    rows = [(f"/{i * 7919 % 900:03d}", a[i].tolist(), t[i].tolist() if i % 3 else None, names[i % 3]) for i in range(900)]
+    asked = rng.normal(size=(40, 8))
+    unit = asked / np.sqrt((asked * asked).sum(axis=1))[:, None]
+    t[np.arange(900) % 3 == 0] = 0
+    monkeypatch.setattr(retrieval, "ROW_STEP", 64)
+    import pyarrow as pa
+
+    from cuewright import rules
+
+    allowed = [None if k % 2 else [*rules.SCOPE["AMB-FOREST"]] for k in range(40)]
+    for alpha, least in ((0.0, None), (0.3, 0.2)):
+        s = retrieval._Search(SearchParams(top_k=6, query_block=16, neg_alpha=alpha, min_score=least))
+        s.add_queries(pa.StructArray.from_arrays([pa.array(range(40)), pa.array(unit.tolist()), pa.array(allowed, pa.list_(pa.string()))], ["query_id", "v", "allowed"]))
+        neg = rng.normal(size=900)
+        order = sorted(range(900), key=lambda i: rows[i][0])
+        columns = [[rows[i][0] for i in order], [rows[i][3] for i in order], [rows[i][1] for i in order], [rows[i][2] for i in order], [neg[i] for i in order]]
+        s.add_rows(pa.StructArray.from_arrays([pa.array(x) for x in columns], ["path", "catid", "audio_emb", "text_emb", "neg_sim"]))
+        found = s.result().to_pylist()
+        score = np.round(unit @ a.T * 0.6 + unit @ t.T * 0.4 - alpha * neg, 6)
+        for k in range(40):
+            fit = [(-score[k, i], rows[i][0]) for i in range(900) if (allowed[k] is None or rows[i][3] in allowed[k]) and (least is None or score[k, i] >= least)]
+            got = sorted((-r["score"], r["path"]) for r in found if r["query_id"] == k)
+            want = sorted(fit)[:6]
+            assert [p for _, p in got] == [p for _, p in want] and np.allclose([x for x, _ in got], [x for x, _ in want])
