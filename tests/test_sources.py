@@ -133,3 +133,14 @@ def test_streamed_index(spark, tmp_path):
     with pytest.raises(Exception):
         spark.createDataFrame([("/z", 20.0)], "path string, duration double").write.mode("append").parquet(src)
         incremental.keep_indexed(incremental.file_stream(spark, src), index, str(tmp_path / "cp"), lambda d: d, "music").awaitTermination()
+
+
+def test_listing_counts_a_table_in_parts_as_one_file(spark, tmp_path):
+    spark.range(3).repartition(2).write.parquet(str(tmp_path / "a.parquet"))
+    (tmp_path / "b.parquet").write_bytes(b"xy")
+    (tmp_path / "plain" / "c.parquet").mkdir(parents=True)
+    (tmp_path / "plain" / "c.parquet" / "part").write_bytes(b"x")
+    (tmp_path / "parquet").write_bytes(b"no extension")
+    found = {r["path"]: r["size"] for r in files.listing(spark, str(tmp_path), ("parquet",), folders=True).collect()}
+    assert set(found) == {str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")}
+    assert found[str(tmp_path / "b.parquet")] == 2 and found[str(tmp_path / "a.parquet")] > 200
