@@ -34,6 +34,14 @@ def rounded(x: Column, digits: int = DIGITS) -> Column:
     return F.round(x, digits)
 
 
+def rounded_double(x: Column, digits: int) -> Column:
+    """``x`` times a power of ten to the nearest whole number, and back, all in doubles; ``rounded`` rounds the shortest decimal that reads as ``x``.
+
+    They differ where that decimal is a tie: 0.145 is a little less as a double times 100, so it gives 0.14 here and 0.15 there.
+    """
+    return F.round(x * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Pearson correlation of two arrays of one length; 0.0 where either is flat or empty."""
     add = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e)

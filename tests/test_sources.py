@@ -144,3 +144,14 @@ def test_listing_counts_a_table_in_parts_as_one_file(spark, tmp_path):
     found = {r["path"]: r["size"] for r in files.listing(spark, str(tmp_path), ("parquet",), folders=True).collect()}
     assert set(found) == {str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")}
     assert found[str(tmp_path / "b.parquet")] == 2 and found[str(tmp_path / "a.parquet")] > 200
+
+
+def test_report_rounds_as_its_sql_does(spark, duck):
+    """Ties of the shortest decimal, where a double times 100 is a little less."""
+    from cuewright.functions import vector as vx
+    from pyspark.sql import functions as F
+
+    values = [s * (k / 100 + 0.005) for k in range(120) for s in (1, -1)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(vx.rounded_double(F.col("x"), 2)).collect()]
+    want = [r[0] for r in duck.execute("select round(unnest(?::double[]), 2)", [values]).fetchall()]
+    assert got == want and any(v != r[0] for v, r in zip(want, spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 2)).collect()))
