@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cuewright.config import Detection
 from cuewright.functions import timecode as tc
@@ -102,37 +102,90 @@ def histogram_similarity(a: list[list[float]], b: list[list[float]]) -> float:
     return float(np.mean(values)) if values else 0.0
 
 
+def _centred(histograms: list) -> list[tuple]:
+    """Each histogram less its mean, with the sum of its squares."""
+    import numpy as np
+
+    if len({len(h) for h in histograms}) == 1:
+        c = np.array(histograms, dtype=np.float64)
+        c -= c.mean(axis=1, keepdims=True)
+        return list(zip(c, (c * c).sum(axis=1).tolist()))
+    return [(c, float((c * c).sum())) for c in (np.asarray(h, dtype=np.float64) - np.mean(h) for h in histograms)]
+
+
 def merge_similar_frames(scenes: DataFrame, frames: DataFrame, similar: float = 0.85, samples: int = 3) -> DataFrame:
     """``merge_similar`` in its general form: ``frames`` (video_id, at_ms, histogram) are sampled anew over each grown run.
 
-    One video is one group; its scenes and frames meet in one task.
+    A video's frames come before its scenes in one sorted partition, and are what is held of it.
     """
+    kind = dict(scenes.dtypes)["video_id"]
+    names = ["video_id", "scene_id", "start_ms", "end_ms", "start_frame", "end_frame", "is_blank"]
+    schema = StructType.fromDDL(f"video_id {kind}, scene_id int, start_ms long, end_ms long, start_frame long, end_frame long, is_blank boolean")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bisect import bisect_left
+        from functools import cache
 
-    def fold(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        left, right = left.sort_values(["start_ms", "scene_id"]), right.sort_values("at_ms")
-        at, hist = right["at_ms"].to_numpy(), list(right["histogram"])
+        kinds, out = to_arrow_schema(schema), []
+
+        @cache
+        def places(n: int) -> list[int]:
+            return np.unique(np.linspace(0, n - 1, samples).round().astype(int)).tolist()
 
         def sampled(a: int, b: int) -> list:
-            inside = np.flatnonzero((at >= a) & (at < b))
-            return [hist[i] for i in inside[np.unique(np.linspace(0, len(inside) - 1, samples).round().astype(int))]] if len(inside) else []
-
-        runs: list[dict] = []
-        for row in left.to_dict("records"):
-            cur = runs[-1] if runs else None
-            if cur and not cur["is_blank"] and not row["is_blank"] and histogram_similarity(sampled(cur["start_ms"], cur["end_ms"]), sampled(row["start_ms"], row["end_ms"])) >= similar:
-                cur["end_ms"], cur["end_frame"] = row["end_ms"], row["end_frame"]
-            else:
-                runs.append(dict(row))
-        out = pd.DataFrame(runs)
-        out["scene_id"] = range(1, len(out) + 1)
-        return out[["video_id", "scene_id", "start_ms", "end_ms", "start_frame", "end_frame", "is_blank"]]
-
-    cols = scenes.select("video_id", "scene_id", "start_ms", "end_ms", "start_frame", "end_frame", F.coalesce("is_blank", F.lit(False)).alias("is_blank"))
-    kind = dict(scenes.dtypes)["video_id"]
-    schema = f"video_id {kind}, scene_id int, start_ms long, end_ms long, start_frame long, end_frame long, is_blank boolean"
-    return cols.groupBy("video_id").cogroup(frames.groupBy("video_id")).applyInPandas(fold, schema)
+            low = bisect_left(at, a)
+            n = bisect_left(at, b) - low
+            return [told[low + i] for i in places(n)] if n > 0 else []
+
+        def alike(x: list, y: list) -> float:
+            """``histogram_similarity`` of centred histograms."""
+            total = 0.0
+            for c, s in x:
+                for d, t in y:
+                    norm = (s * t) ** 0.5
+                    total += float(c.dot(d)) / norm if norm else 0.0
+            return total / (len(x) * len(y)) if x and y else 0.0
+
+        video, at, hist, told, cur = (), [], [], None, None
+        for batch in batches:
+            for key, is_scene, when, scene_id, end_ms, start_frame, end_frame, blank, histogram in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key,) != video:
+                    if cur:
+                        out.append(cur)
+                    video, at, hist, told, cur = (key,), [], [], None, None
+                if not is_scene:
+                    at.append(when)
+                    hist.append(histogram)
+                    continue
+                if told is None:
+                    told = _centred(hist)
+                if cur and not cur[6] and not blank and alike(sampled(cur[2], cur[3]), sampled(when, end_ms)) >= similar:
+                    cur[3], cur[5] = end_ms, end_frame
+                    continue
+                number = 1
+                if cur:
+                    out.append(cur)
+                    number = cur[1] + 1
+                cur = [key, number, when, end_ms, start_frame, end_frame, blank]
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), kinds)], schema=kinds)
+                    out = []
+        if cur:
+            out.append(cur)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), kinds)], schema=kinds)
+
+    cols = scenes.select(*names[:6], F.coalesce("is_blank", F.lit(False)).alias("is_blank"))
+    left = cols.select("video_id", F.lit(True).alias("is_scene"), F.col("start_ms").alias("at"), "scene_id", "end_ms", "start_frame", "end_frame", "is_blank")
+    right = frames.select("video_id", F.lit(False).alias("is_scene"), F.col("at_ms").alias("at"), "histogram")
+    spark = scenes.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # a given number, so that few bytes don't end in few tasks
+    # by a number of its own: where both sides come partitioned by video, Spark would leave this shuffle out, and then join each side's partitions unlike
+    both = left.unionByName(right, allowMissingColumns=True).repartitionById(parts, F.pmod(F.xxhash64("video_id"), F.lit(parts)).cast("int")).sortWithinPartitions("video_id", "is_scene", "at", "scene_id")
+    return both.mapInArrow(run, schema)
 
 
 def blank_marks(frames: DataFrame, black: float = 25.0, white: float = 225.0) -> DataFrame:

@@ -1,5 +1,6 @@
 """Timecodes, folds, tracks, blank statistics."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,3 +151,35 @@ def test_blank_info_join_and_counts(spark):
     assert got[0] is None and got[1]["is_blank"] and got[2] is None
     assert [tuple(r) for r in timeline.merge_counts(sc, timeline.merge_short(sc)).collect()] == [(1, 3, 2, 1)]
     assert [tuple(r) for r in timeline.merge_counts(sc, sc.limit(0)).collect()] == [(1, 3, 0, 3)]
+
+
+def test_merge_similar_frames_samples_a_grown_run(spark):
+    """Several samples of a run, videos without frames or scenes, ragged order: as the definition says, row by row."""
+    rng = np.random.default_rng(3)
+    rows, shots = [], []
+    for v in range(12):
+        for k in range(20):
+            rows.append((v, k + 1, k * 10, k * 10 + 10, k, k + 1, bool(rng.random() < 0.1)))
+        if v != 5:
+            shots += [(v, int(at), (np.arange(4) * rng.choice([-1, 1], p=[0.3, 0.7]) + rng.random(4) * 1.2).tolist()) for at in np.sort(rng.choice(200, 60, replace=False))]
+    shots.append((99, 0, [1.0, 2.0, 3.0, 4.0]))
+    sc = spark.createDataFrame(rows[::-1], "video_id long, scene_id int, start_ms long, end_ms long, start_frame long, end_frame long, is_blank boolean")
+    fr = spark.createDataFrame(shots[::-1], "video_id long, at_ms long, histogram array<double>")
+    want = []
+    for v in range(12):
+        mine = [(a, h) for w, a, h in shots if w == v]
+
+        def sampled(a, b):
+            inside = [h for t, h in mine if a <= t < b]
+            return [inside[i] for i in np.unique(np.linspace(0, len(inside) - 1, 3).round().astype(int))] if inside else []
+
+        runs = []
+        for _, _, a, b, _, _, blank in (r for r in rows if r[0] == v):
+            if runs and not runs[-1][2] and not blank and timeline.histogram_similarity(sampled(*runs[-1][:2]), sampled(a, b)) >= 0.3:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b, blank])
+        want += [(v, n, *r) for n, r in enumerate(runs, 1)]
+    got = timeline.merge_similar_frames(sc, fr, 0.3)
+    assert sorted((r["video_id"], r["scene_id"], r["start_ms"], r["end_ms"], r["is_blank"]) for r in got.collect()) == want and len(want) < len(rows)
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
