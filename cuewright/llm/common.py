@@ -104,10 +104,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[s
     return left.join(renamed, same, how).drop("_salt", *(f"_r_{c}" for c in keys))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores, if its input has fewer (a table of one file, say); else as it is.  For Python stages."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if blocks.partitions(df) < cores else df
+spread = blocks.spread
 
 
 def tidy() -> None:

@@ -39,6 +39,12 @@ def partitions(df: DataFrame) -> int:
     return plan.toRdd().getNumPartitions()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if its input has fewer (a table of one file, say); else as it is.  For Python stages."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if partitions(df) < cores else df
+
+
 def chunks_for(rows: DataFrame, blocks: int) -> int:
     """Chunks of the rows: enough to keep all cores busy, or one for each partition if these are more."""
     cores = rows.sparkSession.sparkContext.defaultParallelism

@@ -72,21 +72,26 @@ def encode_texts(df: DataFrame, column: str, factory: Callable[[], TextEncoder],
     return df.withColumn(out, encode(F.col(column)))
 
 
-def encode_audio(files: DataFrame, decoder: Callable[[], Decoder], encoder: Callable[[], AudioEncoder], rate: int = 48000, seconds: float = 120.0, batch: int = 4) -> DataFrame:
-    """(path, audio_emb, ok) of ``files`` (path, content): mono waves of ``seconds`` at most; a file that can't be decoded is marked, not dropped."""
+def encode_audio(files: DataFrame, decoder: Callable[[], Decoder], encoder: Callable[[], AudioEncoder], rate: int = 48000, seconds: float = 120.0, batch: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, audio_emb, ok) of ``files`` (path, content): mono waves of ``seconds`` at most; a file that can't be decoded is marked, not dropped.
+
+    The encoder gets ``batch`` waves at once; columns to ``keep`` come along, so that nothing needs to be joined.
+    """
+    kinds = dict(files.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dec, enc = decoder(), encoder()
         for frame in frames:
+            paths, contents, rows = frame["path"].tolist(), frame["content"].tolist(), []
             for a in range(0, len(frame), batch):
-                part = frame.iloc[a : a + batch]
-                waves = [dec.decode(p, bytes(c or b""), rate, seconds) for p, c in zip(part["path"], part["content"])]
+                waves = [dec.decode(p, bytes(c or b""), rate, seconds) for p, c in zip(paths[a : a + batch], contents[a : a + batch])]
                 good = [w for w in waves if w is not None and len(w)]
                 vectors = iter(enc.encode(good)) if good else iter(())
-                rows = [next(vectors).astype(np.float32) if w is not None and len(w) else None for w in waves]
-                yield pd.DataFrame({"path": part["path"].to_numpy(), "audio_emb": rows, "ok": [r is not None for r in rows]})
+                rows += [next(vectors).astype(np.float32) if w is not None and len(w) else None for w in waves]
+            # one frame out for one in: vectors are small beside the contents, and a frame of a few rows costs more than they do
+            yield pd.DataFrame({"path": paths, "audio_emb": rows, "ok": [r is not None for r in rows], **{c: frame[c] for c in keep}})
 
-    return files.select("path", "content").mapInPandas(run, "path string, audio_emb array<float>, ok boolean")
+    return files.select("path", "content", *keep).mapInPandas(run, ", ".join(["path string, audio_emb array<float>, ok boolean", *(f"{c} {kinds[c]}" for c in keep)]))
 
 
 def grab_frames(wanted: DataFrame, source: Callable[[], FrameSource], features: Callable[[np.ndarray], dict], schema: str) -> DataFrame:

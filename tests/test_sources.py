@@ -155,3 +155,15 @@ def test_report_rounds_as_its_sql_does(spark, duck):
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(vx.rounded_double(F.col("x"), 2)).collect()]
     want = [r[0] for r in duck.execute("select round(unnest(?::double[]), 2)", [values]).fetchall()]
     assert got == want and any(v != r[0] for v, r in zip(want, spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 2)).collect()))
+
+
+def test_audio_vectors_come_in_few_frames_with_columns_to_keep(spark, monkeypatch):
+    rows = spark.range(100).repartition(1).selectExpr("cast(id as string) as path", "if(id % 5 = 0, cast('' as binary), cast('ab' as binary)) as content", "array(cast(id as float)) as kept")
+    seen = rows.mapInPandas(lambda frames: frames, rows.schema)
+    heard = models.encode_audio(seen, Tone, Tone, keep=("kept",))
+    assert all(r["ok"] == (int(r["path"]) % 5 != 0) and r["kept"] == [float(r["path"])] and (r["audio_emb"] is not None) == r["ok"] for r in heard.collect())
+    from cuewright.plans import registry
+    from helpers import SF
+
+    plan = registry.QUERIES["media_models"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInPandas") == 1
