@@ -30,6 +30,13 @@ def write_json_arrays(df: DataFrame, path: str, by: str, order: str) -> None:
     listed.select(by, F.to_json(F.transform("l", lambda x: x["r"]), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").partitionBy(by).text(path)
 
 
+def write_keyed_arrays(df: DataFrame, path: str, by: str, order: str) -> None:
+    """As ``write_json_arrays``, but a line of JSON for each ``by``, with its value and the array ``rows``: a few files, however many videos there are."""
+    row = F.struct(*[c for c in df.columns if c != by])
+    listed = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), row.alias("r")))).alias("l"))
+    listed.select(F.to_json(F.struct(by, F.transform("l", lambda x: x["r"]).alias("rows")), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_json_objects(df: DataFrame, path: str, by: str) -> None:
     """One JSON object in a folder of its own for each row; ``by`` names it (and is read back as a column)."""
     row = F.struct(*[c for c in df.columns if c != by])

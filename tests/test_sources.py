@@ -157,6 +157,21 @@ def test_report_rounds_as_its_sql_does(spark, duck):
     assert got == want and any(v != r[0] for v, r in zip(want, spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 2)).collect()))
 
 
+def test_scenes_of_many_videos_are_few_files(spark, tmp_path):
+    """A JSON array a video, in its order, but not a file a video."""
+    import os
+
+    rows = spark.range(600).selectExpr("cast(id % 200 as string) as video_id", "cast(id / 200 as int) as scene_id", "'00:00' as start", "if(id = 7, 1.5, null) as duration")
+    path = str(tmp_path / "scenes")
+    sinks.write_keyed_arrays(rows, path, "video_id", "scene_id")
+    names = [f"{d}/{n}" for d, _, found in os.walk(path) for n in found if n.startswith("part")]
+    assert 0 < len(names) <= 2 * spark.sparkContext.defaultParallelism
+    lines = [json.loads(x) for n in names for x in open(n)]
+    assert len(lines) == 200 and all([r["scene_id"] for r in x["rows"]] == [0, 1, 2] for x in lines)
+    got = files.keyed_scenes(spark, path)
+    assert got.count() == 600 and [tuple(r) for r in got.filter("duration is not null").select("video_id", "scene_id", "duration", "end").collect()] == [("7", 0, 1.5, None)]
+
+
 def test_audio_vectors_come_in_few_frames_with_columns_to_keep(spark, monkeypatch):
     rows = spark.range(100).repartition(1).selectExpr("cast(id as string) as path", "if(id % 5 = 0, cast('' as binary), cast('ab' as binary)) as content", "array(cast(id as float)) as kept")
     seen = rows.mapInPandas(lambda frames: frames, rows.schema)
