@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +14,19 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``x``, which is evaluated once a row, however often ``then`` names it and in whatever lambda."""
+    return F.transform(F.array(x), then)[0]
+
+
 def usable(v: Column) -> Column:
     """The vector in doubles; null if it is zero, or holds a null or a number that isn't finite."""
-    d = doubles(v)
-    bad = F.exists(d, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad & F.exists(d, lambda x: x != 0), d)
+
+    def held(d: Column) -> Column:
+        bad = F.exists(d, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        return F.when(~bad & F.exists(d, lambda x: x != 0), d)
+
+    return once(doubles(v), held)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,9 +35,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """Unit length; a zero vector gives null, so that it is never ranked (it would be NaN)."""
-    d = doubles(v)
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(d, lambda x: x / norm))
+    norm = lambda d: F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
+    return once(doubles(v), lambda d: once(norm(d), lambda n: F.when(n > 0, F.transform(d, lambda x: x / n))))
 
 
 def rounded(x: Column, digits: int = DIGITS) -> Column:

@@ -8,7 +8,7 @@ partitions; where the rows' number is given, there are as few as hold ``chunk``
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from cuewright.functions import vector as vx
 
 MOST_CHUNKS = 4096
+#: Rows of a task's hits that are handed to Spark at once.
+OUT_STEP = 16_384
 
 
 class Search(Protocol):
@@ -64,15 +66,22 @@ def dealt_to(queries: int, rows: int, cores: int, block: int, chunk: int, k: int
     return blocks, chunks
 
 
+def in_steps(found: Search | None) -> Iterator[pa.RecordBatch]:
+    """The hits of a task's search, if it had any, in batches of ``OUT_STEP`` rows."""
+    if found is not None and (out := found.result()) is not None:
+        for a in range(0, out.num_rows, OUT_STEP):
+            yield out.slice(a, OUT_STEP)
+
+
 def searched(
-    queries: DataFrame, rows: DataFrame, query_key: str, row_keys: list[str], search: Callable[[], Search], schema: str, block: int, chunk: int | None = None, size: int = 0, k: int = 0, order: str | None = None
+    queries: DataFrame, rows: DataFrame, query_key: str, row_keys: list[str], search: Callable[[], Search], schema: str, block: int, chunk: int | None = None, size: int = 0, k: int = 0, order: str | None = None, asked: int | None = None
 ) -> DataFrame:
     """Hits (``schema``) of every block of ``queries`` in every chunk of ``rows``; the caller merges the chunks' hits.
 
-    ``queries`` are counted once; rows that are alike in ``row_keys`` meet in one chunk.  With ``chunk``, ``size`` is the number of rows or more,
-    and ``k`` the hits that a query has in a chunk.  Rows come by their column ``order``, if it is given.
+    ``queries`` are counted once, unless ``asked`` is their number or more; rows that are alike in ``row_keys`` meet in one chunk.  With ``chunk``,
+    ``size`` is the number of rows or more, and ``k`` the hits that a query has in a chunk.  Rows come by their column ``order``, if it is given.
     """
-    count = queries.count()
+    count = queries.count() if asked is None else asked
     blocks = max(1, -(-count // block))
     chunks = chunks_for(rows, blocks) if chunk is None else 1
     if chunk is not None:
@@ -94,13 +103,11 @@ def searched(
                 if a == b:
                     continue
                 if at[a] != task:
-                    if found is not None and (out := found.result()) is not None:
-                        yield out
+                    yield from in_steps(found)
                     task, found = at[a], search()
                 part = batch.slice(a, b - a)
                 found.add_rows(part.column("r")) if late[a] else found.add_queries(part.column("q"))
-        if found is not None and (out := found.result()) is not None:
-            yield out
+        yield from in_steps(found)
 
     return dealt.mapInArrow(run, schema)
 

@@ -74,6 +74,8 @@ def ranked(scored: DataFrame, score: str, k: int, tie: str = "path", name: str =
 
 #: What a task holds at most: queries, places of their hits, and library rows.  ``SearchParams.query_block`` is how many queries are multiplied at once.
 TASK_QUERIES, TASK_PLACES, TASK_ROWS = 65_536, 1_600_000, 262_144
+#: Hits that a task merges, on average.
+MERGED = 1_000_000
 ROW_STEP, PAIR_STEP = 2048, 32_768
 
 HITS = "query_id long, path string, catid string, score double, audio_sim double, text_sim double, neg_sim double"
@@ -196,7 +198,11 @@ def search(queries: DataFrame, library: DataFrame, params: SearchParams = Search
     lib = lib.select(*[F.col(c).cast(kinds.get(c, t)).alias(c) for c, t in lib.dtypes])
     block = max(1, min(TASK_QUERIES, TASK_PLACES // max(1, params.top_k)))
     asked = q.filter("v is not null").select("query_id", "v", "allowed")
-    hits = blocks.searched(asked, lib, "query_id", ["path"], lambda: _Search(params), HITS, block, TASK_ROWS, library.count(), params.top_k, "path")
+    count, size, cores = queries.count(), library.count(), queries.sparkSession.sparkContext.defaultParallelism
+    hits = blocks.searched(asked, lib, "query_id", ["path"], lambda: _Search(params), HITS, block, TASK_ROWS, size, params.top_k, "path", count)
+    # a task has k hits of a query at most, so nothing is ranked before they are dealt out: to more tasks if there are more hits
+    most = count * min(size, blocks.dealt_to(count, size, cores, block, TASK_ROWS, params.top_k)[1] * params.top_k)
+    hits = hits.repartition(max(cores, -(-most // MERGED)), "query_id")
     sims = [vx.rounded(F.col(c)).alias(c) for c in ("audio_sim", "text_sim", "neg_sim")]
     return ranked(hits, "score", params.top_k).select("query_id", "rank", "path", "catid", "score", *sims)
 

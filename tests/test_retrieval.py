@@ -169,3 +169,48 @@ def test_search_of_many_steps_equals_brute_force(spark, monkeypatch):
             got = sorted((-r["score"], r["path"]) for r in found if r["query_id"] == k)
             want = sorted(fit)[:6]
             assert [p for _, p in got] == [p for _, p in want] and np.allclose([x for x, _ in got], [x for x, _ in want])
+
+
+BOUNDED = ["hybrid_topk"]
+
+
+@pytest.mark.parametrize("name", BOUNDED)
+def test_hits_are_ranked_by_as_many_tasks_as_they_need(spark, name, monkeypatch):
+    """A search's task sorts no hits: they are dealt out by query first, to more tasks if there are more hits."""
+    import __spark_entry__
+    from helpers import SF
+
+    dealt = []
+    for merged in (retrieval.MERGED, 100):
+        monkeypatch.setattr(retrieval, "MERGED", merged)
+        plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        before, _, after = plan.partition("MapInArrow")
+        assert after and "WindowGroupLimit" in before and "Exchange" in before
+        assert not re.search("Window|Sort", before[before.rindex("Exchange") :]), plan
+        dealt.append(int(re.findall(r"Exchange hashpartitioning\(query_id#\d+L, (\d+)\)", before)[-1]))
+    assert dealt[0] == spark.sparkContext.defaultParallelism and dealt[1] >= 500 * 3 / 100, dealt
+
+
+def test_vectors_are_tested_and_scaled_once_a_row(spark):
+    """Neither the test for numbers nor the norm is part of what is computed for each element."""
+    from cuewright.functions import vector as vx
+
+    rows = [([3.0, 4.0],), ([0.0, 0.0],), ([1.0, None],), ([1.0, float("inf")],), ([float("nan"), 1.0],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "v array<double>").select(vx.normalised(vx.usable(F.col("v"))).alias("u"))
+    assert [r["u"] for r in df.collect()] == [[0.6, 0.8]] + [None] * 6
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("isnan") == plan.lower().count("aggregate(") == 1, plan
+
+
+def test_hits_of_a_task_come_in_bounded_batches():
+    import pyarrow as pa
+
+    from cuewright.operators import blocks
+
+    class Found:
+        def result(self):
+            return pa.RecordBatch.from_pydict({"x": list(range(blocks.OUT_STEP * 2 + 5))})
+
+    got = list(blocks.in_steps(Found()))
+    assert [b.num_rows for b in got] == [blocks.OUT_STEP] * 2 + [5] and pa.Table.from_batches(got).column("x").to_pylist() == list(range(blocks.OUT_STEP * 2 + 5))
+    assert list(blocks.in_steps(None)) == []
