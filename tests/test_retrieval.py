@@ -171,7 +171,7 @@ def test_search_of_many_steps_equals_brute_force(spark, monkeypatch):
             assert [p for _, p in got] == [p for _, p in want] and np.allclose([x for x, _ in got], [x for x, _ in want])
 
 
-BOUNDED = ["hybrid_topk", "vector_topk", "scoped_topk_escape", "min_score_topk", "scoped_topk"]
+BOUNDED = ["hybrid_topk", "vector_topk", "scoped_topk_escape", "min_score_topk", "scoped_topk", "unusable_vectors_topk"]
 
 
 @pytest.mark.parametrize("name", BOUNDED)
