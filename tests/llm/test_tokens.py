@@ -40,6 +40,28 @@ def test_encoder_with_a_full_memo(enc):
         assert small.encode(["one two three four", "five six two"]) == enc.encode(["one two three four", "five six two"])
 
 
+class Counting:
+    """A tokenizer that counts how often it is given a word."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+    def times(self, word):
+        return sum(x.count(word) for x in self.texts)
+
+
+def test_encoder_gives_the_library_each_stem_once(enc):
+    new, text = tokens.Encoder(tokens.default_path()), "river stone,\nriver, stone. river! stone\nriver.\nstone (river) stone..."
+    new.tokenizer = counting = Counting(new.tokenizer)
+    assert np.frombuffer(new.encode([text, text])[0], "<u4").tolist() == ids_of(enc, text)
+    # behind a space and behind a line feed; in brackets it is another part
+    assert counting.times("stone") == 2 and counting.times("river") == 3
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 5000, rans.BLOCK, rans.BLOCK + 1, 3 * rans.BLOCK - 5])
 def test_shard_round_trip(n):
     rng = np.random.default_rng(n)
