@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -52,7 +52,9 @@ BLOCK_ELEMENTS = 4_000_000
 SURELY_APART = 0.6
 PAIRS_A_TEXT = 32
 UNITS = 8
+TOGETHER = 1 << 15  # elements that darts are thrown at together, or one text's
 SALTS = 8
+SIGNED_BYTES = 1 << 20  # bytes of texts that are signed together
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -65,35 +67,47 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Elements and weights of texts; word hashes are kept between texts up to a bound."""
+    """Elements and weights of texts."""
 
-    KEPT = 200_000
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted distinct element hashes, weights)."""
+        return self.many([text])[0]
 
-    def _hash(self, word: str) -> int:
+    def many(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(sorted distinct element hashes, weights) of each text; words and runs of all texts are hashed together."""
         from xxhash import xxh3_64_intdigest
 
-        h = xxh3_64_intdigest(word)
-        if len(self.known) < self.KEPT:
-            self.known[word] = h
-        return h
+        words, lengths = [], []
+        for text in texts:
+            found = _WORD.findall(text.lower()) if text else []
+            words += found
+            lengths.append(len(found))
+        told = pa.array(words, pa.large_string()).dictionary_encode()
+        h = np.fromiter(map(xxh3_64_intdigest, told.dictionary.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(told.dictionary))[told.indices.to_numpy()]
+        runs = _runs(h, WORDS)  # those that reach into the next text are left out below
+        out, at = [], 0
+        for n in lengths:
+            own = runs[at : at + n - WORDS + 1] if n >= WORDS else _runs(h[at : at + n], n)[:1]
+            out.append(_weighed(own) if n else (h[:0], np.zeros(0, dtype=np.int64)))
+            at += n
+        return out
+
+
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` of ``h``; the last ones, which are shorter, are of no use."""
+    runs = np.full(len(h), size, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(min(size, len(h))):
+            top = runs[: len(h) - k]
+            top[:] = mixed(top * _U(0x9E3779B97F4A7C15) + h[k:])
+    return runs
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted distinct element hashes, weights)."""
-        words = _WORD.findall(text.lower()) if text else []
-        get, make = self.known.get, self._hash
-        h = np.array([get(w) or make(w) for w in words], dtype=np.uint64)
-        if not len(h):
-            return h, np.zeros(0, dtype=np.int64)
-        n = max(1, len(h) - WORDS + 1)
-        runs = np.full(n, min(len(h), WORDS), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(min(len(h), WORDS)):
-                runs = mixed(runs * _U(0x9E3779B97F4A7C15) + h[k : k + n])
-        elements, weights = np.unique(runs, return_counts=True)
-        return elements, weights
+
+def _weighed(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct ``runs`` (one at least), and how often each occurs."""
+    runs = np.sort(runs)
+    first = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1])))
+    return runs[first], np.diff(first, append=len(runs))
 
 
 def _poisson_steps(area: float) -> np.ndarray:
@@ -111,8 +125,11 @@ _STEPS: dict[float, np.ndarray] = {}
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 
 
-def _throw(layer: tuple, strip: int, low: float, height: float, best: np.ndarray, k: int) -> int:
-    """Throw the darts of one strip of rank of a layer; each coordinate of ``best`` keeps its earliest."""
+def _throw(layer: tuple, strip: int, low: float, height: float, best: np.ndarray, k: int, at_row: np.ndarray | None = None) -> int:
+    """Throw the darts of one strip of rank of a layer; each coordinate of ``best`` keeps its earliest.
+
+    ``at_row``: where in ``best`` the coordinates of each element begin, if it holds those of several sets.
+    """
     base, room, high = layer
     # a strip is cut into cells of area 1 at most, all thrown at together
     cells = max(1, int(high * height))
@@ -131,6 +148,8 @@ def _throw(layer: tuple, strip: int, low: float, height: float, best: np.ndarray
         inside = (place >> _U(40)).astype(np.float64) * (high / (1 << 24)) < room[at % len(base)]
         at, name, place = at[inside], name[inside], place[inside]
     slot = ((place & _U(0xFFF)) * _U(k) >> _U(12)).astype(np.int64)
+    if at_row is not None:
+        slot += at_row[at % len(base)]
     fresh = np.flatnonzero(best[slot] >= _order(low))
     at, name, place, slot = at[fresh], name[fresh], place[fresh], slot[fresh]
     rank = low + ((at // len(base)) + ((place >> _U(12)) & _U(0xFFFFF)).astype(np.float64) / (1 << 20)) * (height / cells)
@@ -179,13 +198,62 @@ def signature(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES, t
         bound *= 2
 
 
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = COORDINATES) -> np.ndarray:
+    """``signature`` of each of ``sets`` (none of them empty, whole weights), a row each; the darts of many sets are thrown together."""
+    out = np.empty((len(sets), k), dtype=np.uint32)
+    together, held = [], 0
+    for i, (elements, weights) in enumerate(sets):
+        whole = int(weights.sum())
+        if len(elements) > TOGETHER or whole > max(16 * k, 2 * len(elements)):  # heavy elements begin at lower ranks
+            out[i] = signature(elements, weights, k)
+            continue
+        together.append(i)
+        held += max(k, whole)
+        if held >= TOGETHER:
+            out[together] = _signatures([sets[j] for j in together], k)
+            together, held = [], 0
+    if together:
+        out[together] = _signatures([sets[j] for j in together], k)
+    return out
+
+
+def _signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """Signatures of ``sets``: the strips of a layer are the same for all, so each is thrown at the elements of those that still need it."""
+    elements, weights = (np.concatenate([x[i] for x in sets]) for i in (0, 1))
+    doc = np.repeat(np.arange(len(sets)), [len(x[0]) for x in sets])
+    whole = np.minimum(weights, UNITS)
+    owner = np.repeat(np.arange(len(elements)), whole)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole)
+    layers = [(mixed(elements[owner] + number.astype(np.uint64) * _U(0xD1342543DE82EF95)), None, 1.0, doc[owner])]
+    high, top = UNITS, int(weights.max())
+    while high < top:
+        some = np.flatnonzero(weights > high)
+        layers.append((mixed(elements[some] + _U(high * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)), weights[some] - high, float(high), doc[some]))
+        high *= 2
+    best = np.full((len(sets), k), _EMPTY, dtype=np.uint64)
+    bound, tops, strips = 0.5, [0.0] * len(layers), [0] * len(layers)
+    while True:
+        for i, (*layer, of) in enumerate(layers):
+            while tops[i] < bound:
+                height = tops[i] or 1 / (2 * layer[2])
+                if len(of):
+                    _throw(tuple(layer), strips[i], tops[i], height, best.reshape(-1), k, of * k)
+                tops[i], strips[i] = tops[i] + height, strips[i] + 1
+        still = best.max(axis=1) >= _order(bound)
+        if not still.any():
+            return best.astype(np.uint32)
+        if not still.all():
+            layers = [(base[at], room if room is None else room[at], high, of[at]) for base, room, high, of in layers for at in (still[of],)]
+        bound *= 2
+
+
 def bands_of(names: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each band of a signature."""
-    rows = names.reshape(BANDS, ROWS).astype(np.uint64)
+    """One 64-bit hash for each band of a signature, or of each of several (a row each)."""
+    rows = names.reshape(*names.shape[:-1], BANDS, ROWS).astype(np.uint64)
     h = np.arange(1, BANDS + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(ROWS):
-            h = mixed(h * _U(0x9E3779B97F4A7C15) + rows[:, k])
+            h = mixed(h * _U(0x9E3779B97F4A7C15) + rows[..., k])
     return h.view(np.int64)
 
 
@@ -228,7 +296,8 @@ def linked(sides: list[int], groups: list[int], sets: list, threshold: float = T
         right.append((at + i + 1).astype(np.int32))
     left, right = np.concatenate([*left, np.zeros(0, np.int32)]), np.concatenate([*right, np.zeros(0, np.int32)])
     if len(left) > PAIRS_A_TEXT * n:  # where pairs are many, signatures cost less than they save
-        names = np.array([signature(*x) if len(x[0]) else np.arange(COORDINATES) for x in sets]).reshape(n, COORDINATES)
+        names, some = np.tile(np.arange(COORDINATES, dtype=np.uint32), (n, 1)), np.flatnonzero(size)
+        names[some] = signatures([sets[i] for i in some.tolist()])
         near = np.concatenate([np.count_nonzero(names[left[k : k + 4096]] == names[right[k : k + 4096]], axis=1) for k in range(0, len(left), 4096)]) / COORDINATES
         order = np.argsort(-near, kind="stable")
         order = order[near[order] >= SURELY_APART]
@@ -262,10 +331,14 @@ def signed(docs: DataFrame) -> DataFrame:
         shingle = Shingler()
         for batch in batches:
             bands, sizes = [], []
-            for text in batch.column("text"):
-                x = shingle(text.as_py())
-                bands.append(bands_of(signature(*x)) if len(x[0]) else None)
-                sizes.append(len(x[0]))
+            for _, texts in tokens.slices(batch, SIGNED_BYTES):
+                sets = shingle.many(texts.to_pylist())
+                some = [i for i, x in enumerate(sets) if len(x[0])]
+                found: list = [None] * len(sets)
+                for i, row in zip(some, bands_of(signatures([sets[i] for i in some]))):
+                    found[i] = row
+                bands += found
+                sizes += [len(x[0]) for x in sets]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "h1", "h2", "bands", "size"])
         del shingle
         common.tidy()

@@ -287,6 +287,21 @@ def test_signature_estimates_weighted_similarity():
         assert len(np.unique(near_dedup.signature(rng.integers(0, 2**63, n).astype(np.uint64), np.ones(n, dtype=np.int64)))) > 1
 
 
+def test_texts_are_signed_together(monkeypatch):
+    """Darts are thrown strip by strip at many texts, not text by text, and give each text its own signature."""
+    rng, calls, throw = np.random.default_rng(4), [], near_dedup._throw
+    monkeypatch.setattr(near_dedup, "_throw", lambda *a: calls.append(1) or throw(*a))
+    texts = [" ".join(rng.choice(["a", "bc", "déf", "g_1", "Hi"], n)) for n in rng.integers(1, 300, 200)] + ["one two", None, "", "same words " * 3000, " ".join(map(str, range(40_000)))]
+    shingle = near_dedup.Shingler()
+    sets = shingle.many(texts)
+    assert all((a == b).all() for one, text in zip(sets, texts) for a, b in zip(one, shingle(text)))
+    sets = [x for x in sets if len(x[0])]
+    got = near_dedup.signatures(sets)
+    assert len(sets) == 203 and len(calls) < 203
+    assert (got == np.array([near_dedup.signature(*x) for x in sets])).all()
+    assert (near_dedup.bands_of(got) == np.array([near_dedup.bands_of(x) for x in got])).all()
+
+
 @pytest.mark.parametrize("text", [None, "", "a", "x" * 576, "x" * 577, "é" * 1000, "\xff\xfb" * 900, "ID3TAG" * 500])
 def test_mpeg_round_trip(text):
     raw = (text or "").encode()
