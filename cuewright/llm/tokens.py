@@ -40,7 +40,7 @@ class Encoder:
     """
 
     #: Parts kept at most, about 180 bytes each; further ones are encoded in each call that meets them.
-    KEPT = 450_000
+    KEPT = 900_000
 
     def __init__(self, path: str, kept: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,6 +63,17 @@ def test_encoder_gives_the_library_each_stem_once(enc):
     assert counting.times("stone") == 2 and counting.times("river") == 3
 
 
+def test_full_memo_costs_a_stem_once_a_slice(enc):
+    """Where the memo has no room, all texts of 4 MB share what the library is asked for."""
+    batch = pa.record_batch({"doc_id": [1, 2, 3], "text": ["river, stone. " * 80_000, None, "stone river " * 160_000]})
+    new = tokens.Encoder(tokens.default_path(), 1)
+    new.encode(["full"])
+    new.tokenizer = counting = Counting(new.tokenizer)
+    got = [x for _, texts in tokens.slices(batch) for x in new.encode(texts)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(enc, x) for x in batch.column("text").to_pylist()]
+    assert counting.times("stone") <= 2 and counting.times("river") <= 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 5000, rans.BLOCK, rans.BLOCK + 1, 3 * rans.BLOCK - 5])
 def test_shard_round_trip(n):
     rng = np.random.default_rng(n)
