@@ -52,9 +52,9 @@ BLOCK_ELEMENTS = 4_000_000
 SURELY_APART = 0.6
 PAIRS_A_TEXT = 32
 UNITS = 8
-TOGETHER = 1 << 15  # elements that darts are thrown at together, or one text's
+TOGETHER = 1 << 14  # elements that darts are thrown at together, or one text's
 SALTS = 8
-SIGNED_BYTES = 1 << 20  # bytes of texts that are signed together
+SIGNED_BYTES = 1 << 18  # bytes of texts that are signed together
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -340,8 +340,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 bands += found
                 sizes += [len(x[0]) for x in sets]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "h1", "h2", "bands", "size"])
-        del shingle
-        common.tidy()
+            common.tidy()
 
     return common.spread(keyed(docs)).mapInArrow(sign, SIGNED)
 

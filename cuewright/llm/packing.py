@@ -73,6 +73,7 @@ def pieces(docs: DataFrame, groups: int, tokenizer: str, end_id: int, capacity:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
+        common.tidy()  # of what the worker did before
         enc, seen = tokens.encoder(tokenizer), Counter()
         for batch in batches:
             for names, texts in tokens.slices(batch):
@@ -89,6 +90,7 @@ def pieces(docs: DataFrame, groups: int, tokenizer: str, end_id: int, capacity:
                         size = min(capacity, n - at)
                         rows.append((key, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)]), n, bucket, twin))
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), [pa.int64()] * 6 + [pa.int32()])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "twin"])
+            common.tidy()
 
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return common.spread(small).mapInArrow(cut, PIECES)

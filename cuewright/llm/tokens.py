@@ -22,7 +22,7 @@ _LETTERS = r"\A\n?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+\z"  # letter
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe, which may take letters with it
 _SPACES = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _NOT_PLAIN = rf"[\x09-\x0d\x1c-\x20{_SPACES}]{{2}}|\A[\x09\x0b-\x0d\x1c-\x1f{_SPACES}]"
-_GATHERED = 1 << 18  # parts whose ids are put together at a time
+_GATHERED = 1 << 16  # parts whose ids are put together at a time
 
 
 def default_path() -> str:
@@ -40,7 +40,7 @@ class Encoder:
     """
 
     #: Parts kept at most, about 180 bytes each; further ones are encoded in each call that meets them.
-    KEPT = 900_000
+    KEPT = 450_000
 
     def __init__(self, path: str, kept: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -184,7 +184,7 @@ def encoder(path: str, kept: int | None = None) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(batch, size: int = 1 << 22):
+def slices(batch, size: int = 1 << 21):
     """(doc_ids, text column) of runs of rows of an Arrow batch with texts of about ``size`` bytes, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     a, done = 0, 0

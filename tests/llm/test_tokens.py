@@ -64,8 +64,8 @@ def test_encoder_gives_the_library_each_stem_once(enc):
 
 
 def test_full_memo_costs_a_stem_once_a_slice(enc):
-    """Where the memo has no room, all texts of 4 MB share what the library is asked for."""
-    batch = pa.record_batch({"doc_id": [1, 2, 3], "text": ["river, stone. " * 80_000, None, "stone river " * 160_000]})
+    """Where the memo has no room, all texts of 2 MB share what the library is asked for."""
+    batch = pa.record_batch({"doc_id": [1, 2, 3], "text": ["river, stone. " * 40_000, None, "stone river " * 80_000]})
     new = tokens.Encoder(tokens.default_path(), 1)
     new.encode(["full"])
     new.tokenizer = counting = Counting(new.tokenizer)
